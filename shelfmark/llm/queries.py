@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import chat, mixing, secrets
+from shelfmark.llm import chat, language, mixing, pii, quality, secrets
 from shelfmark.llm.batches import kind_count, span_digest
 from shelfmark.session import table
 
@@ -34,6 +34,30 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length("loss").cast("bigint").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("bigint").alias("formatted_chars"))
 
 
+def held_out(key: str = "doc_id"):
+    """Whether crc32 of the key's text leaves 0 when divided by 5; a null key doesn't count as held out, nor is it learned from."""
+    return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    counts, labels = quality.labelled_sample(docs, table(spark, sf_dir, "labels"), ~held_out())
+    scored = quality.classify(docs, quality.fit(counts, labels))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = language.fit(language.training_texts(docs, ~held_out()))
+    return language.identify(docs, net).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "n_windows")
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(table(spark, sf_dir, "documents"))
+    spans, digest = span_digest(F.col("spans"), pii.BASE)
+    return found.select("doc_id", *[kind_count(F.col("spans"), k).alias(f"n_{k}") for k in pii.BASE], digest.alias("base_sha256"), spans.alias("spans"))
+
+
 OP5_SQL = r"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
                   ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS hash FROM documents),
@@ -66,7 +90,7 @@ FROM f GROUP BY conv_id
 
 
 def queries() -> dict:
-    return {"op1_secret_scan": op1_secret_scan, "op5_mixing": op5_mixing, "op7_chat_format": op7_chat_format}
+    return {"op1_secret_scan": op1_secret_scan, "op5_mixing": op5_mixing, "op6_quality": op6_quality, "op7_chat_format": op7_chat_format, "op8_language_id": op8_language_id, "op9_pii": op9_pii}
 
 
 def oracle_sql() -> dict[str, str]:
