@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import chat, language, mixing, neardup, pii, quality, secrets
+from shelfmark.llm import chat, language, mixing, neardup, packing, pii, quality, secrets
 from shelfmark.llm.batches import kind_count, span_digest
 from shelfmark.session import table
 
@@ -20,6 +20,14 @@ def op3_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+#: A public vocabulary file on the driver.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), VOCABULARY)
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -94,7 +102,7 @@ FROM f GROUP BY conv_id
 
 
 def queries() -> dict:
-    return {"op1_secret_scan": op1_secret_scan, "op3_minhash_neardup": op3_minhash_neardup, "op5_mixing": op5_mixing, "op6_quality": op6_quality, "op7_chat_format": op7_chat_format, "op8_language_id": op8_language_id, "op9_pii": op9_pii}
+    return {"op1_secret_scan": op1_secret_scan, "op3_minhash_neardup": op3_minhash_neardup, "op4_token_output": op4_token_output, "op5_mixing": op5_mixing, "op6_quality": op6_quality, "op7_chat_format": op7_chat_format, "op8_language_id": op8_language_id, "op9_pii": op9_pii}
 
 
 def oracle_sql() -> dict[str, str]:
