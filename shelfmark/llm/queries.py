@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import chat, language, mixing, neardup, packing, pii, quality, secrets
+from shelfmark.llm import chat, language, mixing, neardup, packing, pii, quality, secrets, vectors
 from shelfmark.llm.batches import kind_count, span_digest
 from shelfmark.session import table
 
@@ -70,6 +70,10 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[kind_count(F.col("spans"), k).alias(f"n_{k}") for k in pii.BASE], digest.alias("base_sha256"), spans.alias("spans"))
 
 
+def op10_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 OP5_SQL = r"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
                   ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS hash FROM documents),
@@ -102,7 +106,7 @@ FROM f GROUP BY conv_id
 
 
 def queries() -> dict:
-    return {"op1_secret_scan": op1_secret_scan, "op3_minhash_neardup": op3_minhash_neardup, "op4_token_output": op4_token_output, "op5_mixing": op5_mixing, "op6_quality": op6_quality, "op7_chat_format": op7_chat_format, "op8_language_id": op8_language_id, "op9_pii": op9_pii}
+    return {"op1_secret_scan": op1_secret_scan, "op3_minhash_neardup": op3_minhash_neardup, "op4_token_output": op4_token_output, "op5_mixing": op5_mixing, "op6_quality": op6_quality, "op7_chat_format": op7_chat_format, "op8_language_id": op8_language_id, "op9_pii": op9_pii, "op10_embedding_neardup": op10_embedding_neardup}
 
 
 def oracle_sql() -> dict[str, str]:
