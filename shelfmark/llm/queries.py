@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import chat, language, mixing, neardup, packing, pii, quality, secrets, vectors
+from shelfmark.llm import chat, decontaminate, language, mixing, neardup, packing, pii, quality, secrets, vectors
 from shelfmark.llm.batches import kind_count, span_digest
 from shelfmark.session import table
 
@@ -16,6 +16,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[kind_count(F.col("spans"), k).alias(f"n_{k}") for k in secrets.BASE], digest.alias("base_sha256"), spans.alias("spans"), "scored")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -106,7 +110,7 @@ FROM f GROUP BY conv_id
 
 
 def queries() -> dict:
-    return {"op1_secret_scan": op1_secret_scan, "op3_minhash_neardup": op3_minhash_neardup, "op4_token_output": op4_token_output, "op5_mixing": op5_mixing, "op6_quality": op6_quality, "op7_chat_format": op7_chat_format, "op8_language_id": op8_language_id, "op9_pii": op9_pii, "op10_embedding_neardup": op10_embedding_neardup}
+    return {"op1_secret_scan": op1_secret_scan, "op2_decontamination": op2_decontamination, "op3_minhash_neardup": op3_minhash_neardup, "op4_token_output": op4_token_output, "op5_mixing": op5_mixing, "op6_quality": op6_quality, "op7_chat_format": op7_chat_format, "op8_language_id": op8_language_id, "op9_pii": op9_pii, "op10_embedding_neardup": op10_embedding_neardup}
 
 
 def oracle_sql() -> dict[str, str]:
