@@ -60,27 +60,20 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return ranked.select("source", "source_size", F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(shared).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, key: str = "doc_id") -> DataFrame:
-    """(key, size, source, source_size, target, copies) for each row of docs.
-
-    docs has key, text and source; further columns are ignored. A null text has size 0, a null source is a
-    source of its own, and rows with one key share one decision (rows without a key, too). copies is 0 to
-    `most`. The words taken from a source miss its target by no more than the sizes of the documents whose
-    hashes share the last bucket, one document at most unless keys repeat. An empty table gives no rows.
-    """
-    rows = written(docs.select(F.col(key), F.col("source"), word_count(F.col("text")).alias("size"), id_hash(F.col(key)).alias("hash")), "sizes")
+def _bounds(rows: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
+    """(source_, base, source_size, target, prefix) by source, from rows of source, size and hash: each row is taken
+    base times, and once more if the first LEVELS digits of its hash are under prefix."""
     plan = targets(rows, weights, most)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     plan = plan.withColumn("base", F.least(F.floor(ratio), F.lit(most)).cast("bigint"))
     plan = written(plan.withColumn("budget", F.greatest(F.lit(0.0), F.col("target") - F.col("base") * F.col("source_size"))).withColumn("source_", F.col("source")).drop("source"), "plan")
     at = plan.select("source_", "base", "source_size", "target", F.col("budget"), F.lit(0).cast("bigint").alias("prefix"))
     for level in range(LEVELS):
-        inside = rows.join(at, F.col("source").eqNullSafe(F.col("source_"))).where(F.shiftrightunsigned("hash", 60 - BITS * level) == F.col("prefix")) if level else rows.join(at, F.col("source").eqNullSafe(F.col("source_")))
+        inside = rows.join(at, F.col("source").eqNullSafe(F.col("source_"))).where(F.shiftrightunsigned("hash", 60 - BITS * level) == F.col("prefix"))
         sums = inside.groupBy("source_", _digit(level).alias("digit")).agg(F.sum("size").alias("words"), F.first("budget").alias("budget"))
         order = Window.partitionBy("source_").orderBy("digit")
         sums = sums.withColumn("upto", F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-        fits = sums.groupBy("source_").agg(F.coalesce(F.max(F.when(F.col("upto") <= F.col("budget"), F.col("digit") + 1)), F.lit(0)).alias("digit"), F.coalesce(F.max(F.when(F.col("upto") <= F.col("budget"), F.col("upto"))), F.lit(0)).alias("used"), F.min(F.when(F.col("upto") > F.col("budget"), F.col("digit"))).alias("crossing"), F.max("digit").alias("top"))
-        fits = fits.select(F.col("source_").alias("s"), F.coalesce("crossing", F.lit(BUCKETS)).alias("digit"), "used")
+        fits = sums.groupBy(F.col("source_").alias("s")).agg(F.max(F.when(F.col("upto") <= F.col("budget"), F.col("upto"))).alias("used"), F.coalesce(F.min(F.when(F.col("upto") > F.col("budget"), F.col("digit"))), F.lit(BUCKETS)).alias("digit"))
         joined = at.join(fits, F.col("source_").eqNullSafe(F.col("s")), "left")
         # A prefix past the last bucket (all of it fits) takes everything below it and leaves nothing inside.
         at = joined.select("source_", "base", "source_size", "target", (F.col("budget") - F.coalesce("used", F.lit(0))).alias("budget"), (F.shiftleft("prefix", BITS) + F.coalesce("digit", F.lit(0))).alias("prefix"))
@@ -88,7 +81,30 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_CO
     edge = rows.join(at, F.col("source").eqNullSafe(F.col("source_"))).where(F.shiftrightunsigned("hash", 60 - BITS * LEVELS) == F.col("prefix")).groupBy("source_").agg(F.sum("size").alias("edge"))
     edge = edge.select(F.col("source_").alias("s"), "edge")
     # The last bucket goes in if that brings the sum nearer to the target.
-    bounds = at.join(edge, F.col("source_").eqNullSafe(F.col("s")), "left").select("source_", "base", "source_size", "target", (F.col("prefix") + F.when(2 * F.col("budget") > F.coalesce("edge", F.lit(0)), 1).otherwise(0)).alias("prefix"))
-    out = rows.join(bounds, F.col("source").eqNullSafe(F.col("source_")))
+    return at.join(edge, F.col("source_").eqNullSafe(F.col("s")), "left").select("source_", "base", "source_size", "target", (F.col("prefix") + F.when(2 * F.col("budget") > F.coalesce("edge", F.lit(0)), 1).otherwise(0)).alias("prefix"))
+
+
+def _copies(rows: DataFrame, bounds: DataFrame, most: int) -> DataFrame:
     extra = (F.shiftrightunsigned("hash", 60 - BITS * LEVELS) < F.col("prefix")).cast("bigint")
-    return out.select(key, "size", "source", "source_size", "target", F.least(F.col("base") + extra, F.lit(most)).alias("copies"))
+    return rows.join(bounds, F.col("source").eqNullSafe(F.col("source_"))).withColumn("copies", F.least(F.col("base") + extra, F.lit(most)))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """(key, size, source, source_size, target, copies) for each row of docs.
+
+    docs has key, text and source; further columns are ignored. A null text has size 0, a null source is a
+    source of its own, and rows with one key share one decision (rows without a key, too). copies is 0 to
+    `most`. The words taken from a source miss its target by no more than the sizes of the documents whose
+    hashes share the last bucket, one document at most unless keys repeat. An empty table gives no rows.
+    """
+    rows = written(docs.select(F.col(key).alias("key"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), id_hash(F.col(key)).alias("hash")), "sizes")
+    out = _copies(rows, _bounds(rows, weights, most), most)
+    return out.select(F.col("key").alias(key), "size", F.col("source").alias(source), "source_size", "target", "copies")
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The rows of docs, all columns, each as often as mix() takes it. Texts are not shuffled: only the bounds are joined."""
+    rows = written(docs.select(F.col(source).alias("source"), word_count(F.col(text)).alias("size"), id_hash(F.col(key)).alias("hash")), "sizes")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(source).alias("source"), id_hash(F.col(key)).alias("hash"))
+    out = _copies(whole, _bounds(rows, weights, most), most).where("copies > 0")
+    return out.select("row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).select("row.*")
