@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.batches import map_texts
+from shelfmark.llm.batches import map_texts, slices
 from shelfmark.llm.shingles import mix64, text_shingles
 from shelfmark.operators.graph import connected_components
 from shelfmark.scratch import written
@@ -34,6 +34,8 @@ SKETCH_BITS = 512
 PERCENT = 85
 #: Sketches rule a pair out if their estimate is below the threshold by so much: over four standard errors.
 MARGIN = 0.13
+#: Size of the bitmap that picks the texts to be read again, as a power of two (32 MB).
+FILTER_BITS = 28
 #: Members of a block.
 BLOCK = 2048
 
@@ -215,13 +217,36 @@ def candidates(prints: DataFrame, key: str, percent: int = PERCENT) -> DataFrame
     return pairs.where((F.col("most") > 2) | (differ <= most_differing_bits(max(0.0, percent / 100 - MARGIN)))).select("a", "a_print", "sketch", "hub", "hub_print")
 
 
+def _wanted_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
+    """(print, shingles) of the texts whose keys are wanted, and of some more.
+
+    A bitmap of the wanted keys' hashes, of FILTER_BITS at most, travels to the executors, and texts that it
+    rules out are dropped where they are read: no text is shuffled. What its collisions let through meets no
+    pair later.
+    """
+    bits = min(FILTER_BITS, max(16, (16 * wanted.count()).bit_length()))
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
+    marks = wanted.select(slot(F.col("key")).alias("s")).groupBy(F.shiftright("s", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("marks")).collect()
+    bitmap = np.zeros((1 << bits) // 64, np.int64)
+    bitmap[[r["word"] for r in marks]] = [r["marks"] for r in marks]
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches):
+        for batch in batches:
+            for piece in slices(batch, "_text"):
+                s = np.asarray(piece.column(0))
+                keep = (shared.value[s >> 6] >> (s & 63)) & 1
+                yield pa.RecordBatch.from_arrays(_sets(piece.column(1).filter(pa.array(keep.astype(bool)))), names=["print", "shingles"])
+
+    rows = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull())
+    return rows.select(slot(F.col(key)).alias("_slot"), F.col(text).cast("string").alias("_text")).mapInArrow(run, "print binary, shingles binary")
+
+
 def links(docs: DataFrame, prints: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """(a, b) between classes, by their least keys, that join all classes which links join."""
     pairs = written(candidates(prints, key, percent), "pairs")
-    wanted = pairs.select(F.col("a").alias("_key")).unionByName(pairs.select(F.col("hub").alias("_key"))).distinct()
-    texts = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(wanted, "_key", "left_semi")
-    sets = map_texts(texts, "_key", "_text", lambda: _sets, "print binary, shingles binary").groupBy("print").agg(F.first("shingles").alias("shingles"))
-    sets = written(sets, "sets")
+    wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("hub").alias("key"))).distinct()
+    sets = written(_wanted_sets(docs, wanted, key, text).groupBy("print").agg(F.first("shingles").alias("shingles")), "sets")
     both = pairs.join(sets.select(F.col("print").alias("a_print"), F.col("shingles").alias("mine")), "a_print").join(sets.select(F.col("print").alias("hub_print"), F.col("shingles").alias("hubs")), "hub_print")
     kind = prints.schema[key].dataType.simpleString()
     rows = both.select("a", "hub", "sketch", "mine", "hubs").mapInArrow(_differences, f"a {kind}, hub {kind}, sketch array<bigint>, n_a bigint, n_hub bigint, shared bigint, has binary, besides binary")
