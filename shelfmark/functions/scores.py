@@ -73,3 +73,8 @@ def resized(width: Column, height: Column, max_pixels: int, grid: int = 28) -> t
     side = lambda x: F.greatest(F.lit(grid), (F.floor(F.floor(x * scale) / grid) * grid)).cast("int")
     fits = width * height <= max_pixels
     return F.when(fits, width).otherwise(side(width)).cast("int"), F.when(fits, height).otherwise(side(height)).cast("int")
+
+
+def linear_blend(text: Column, other: Column, text_weight: Column) -> Column:
+    """Weighted mean of two scores; here the weight is the text's share."""
+    return text_weight * text + (F.lit(1.0) - text_weight) * other
