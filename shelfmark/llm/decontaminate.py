@@ -1,8 +1,8 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming lookup, exact weighted shingles.
 
-A window that holds no shingle of any item has similarity 0 with all of them, so only windows that line up
-with a shared shingle are fingerprinted: for each place where a text has an item's shingle, the window of
-the item's size that puts the shingle where the item has it. Every item whose fingerprint is within RADIUS
+A window that holds no shingle of any item has similarity 0 with all of them, so only the others are
+fingerprinted: for each place where a text has an item's shingle, all windows of the item's size around it.
+Every item whose fingerprint is within RADIUS
 bits is a candidate: RADIUS + 1 blocks, of which at least one must agree. Candidates are settled by
 sum(min) / sum(max) over both multisets of shingles, each shingle weighing the characters of its words.
 """
@@ -127,7 +127,7 @@ def build(items: list[tuple]) -> Index | None:
             continue
         size = min(SHINGLE_WORDS, n)
         runs = Runs(own, lengths[counts[i] : counts[i + 1]], np.array([0, n]), size)
-        postings.setdefault(size, []).append((runs.hash, np.full(len(runs.hash), len(ids)), runs.place))
+        postings.setdefault(size, []).append((runs.hash, np.full(len(runs.hash), len(ids))))
         ids.append(name)
         sizes.append(n)
         shingles.append(runs.hash)
@@ -136,11 +136,11 @@ def build(items: list[tuple]) -> Index | None:
         return None
     by_size = {}
     for size, parts in postings.items():
-        h, item, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+        h, item = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.argsort(h, kind="stable")
         filter_ = np.zeros(1 << _FILTER, dtype=bool)
         filter_[(h & np.uint64((1 << _FILTER) - 1)).astype(np.int64)] = True
-        by_size[size] = (h[order], item[order], place[order], filter_)
+        by_size[size] = (h[order], item[order], filter_)
     starts = np.concatenate([[0], np.cumsum([len(s) for s in shingles])[:-1]])
     prints = simhash(np.concatenate(shingles), np.concatenate(weights), starts)
     return Index(ids, np.array(sizes), shingles, weights, by_size, MultiIndex(prints, RADIUS))
@@ -151,7 +151,7 @@ def find(index: Index, column: pa.Array, similarity: float) -> list[list[dict]]:
     out: list[dict] = [{} for _ in range(len(column))]
     words, lengths, counts = words_of(column)
     have = np.diff(counts)
-    for size, (known, item, place, filter_) in index.by_size.items():
+    for size, (known, item, filter_) in index.by_size.items():
         runs = Runs(words, lengths, counts, size)
         hit = np.flatnonzero(filter_[(runs.hash & np.uint64((1 << _FILTER) - 1)).astype(np.int64)])
         if not len(hit):
@@ -159,11 +159,22 @@ def find(index: Index, column: pa.Array, similarity: float) -> list[list[dict]]:
         low, high = np.searchsorted(known, runs.hash[hit]), np.searchsorted(known, runs.hash[hit], side="right")
         n = high - low
         hit = np.repeat(hit, n)
+        if not len(hit):
+            continue
         at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        text, size_of = runs.text[hit], index.sizes[item[at]]
-        # A window that would reach over the end of the text is moved back into it, or is the whole text.
-        start = np.clip(runs.place[hit] - place[at], 0, np.maximum(have[text] - size_of, 0))
-        windows = np.unique(np.stack([text, start, np.minimum(size_of, have[text])], axis=1), axis=0)
+        # All windows of an item's size that hold the shingle; at the ends of a text they are moved into it.
+        kinds, kind = np.unique(index.sizes[item[at]], return_inverse=True)
+        place_of = np.unique(hit * len(kinds) + kind)
+        hit, kind = place_of // len(kinds), place_of % len(kinds)
+        text, long = runs.text[hit], kinds[kind]
+        last = np.maximum(have[text] - long, 0)
+        low, high = np.minimum(np.maximum(runs.place[hit] - long + size, 0), last), np.minimum(runs.place[hit], last)
+        n = high - low + 1
+        span = int(have.max()) + 1
+        start = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        code = np.unique((np.repeat(text, n) * span + start) * len(kinds) + np.repeat(kind, n))
+        text, start, long = code // len(kinds) // span, code // len(kinds) % span, kinds[code % len(kinds)]
+        windows = np.stack([text, start, np.minimum(long, have[text])], axis=1)
         for w0 in range(0, len(windows), 512):
             part = windows[w0 : w0 + 512]
             n = part[:, 2] - size + 1
