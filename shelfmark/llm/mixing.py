@@ -81,7 +81,9 @@ def _bounds(rows: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
     edge = rows.join(at, F.col("source").eqNullSafe(F.col("source_"))).where(F.shiftrightunsigned("hash", 60 - BITS * LEVELS) == F.col("prefix")).groupBy("source_").agg(F.sum("size").alias("edge"))
     edge = edge.select(F.col("source_").alias("s"), "edge")
     # The last bucket goes in if that brings the sum nearer to the target.
-    return at.join(edge, F.col("source_").eqNullSafe(F.col("s")), "left").select("source_", "base", "source_size", "target", (F.col("prefix") + F.when(2 * F.col("budget") > F.coalesce("edge", F.lit(0)), 1).otherwise(0)).alias("prefix"))
+    bounds = at.join(edge, F.col("source_").eqNullSafe(F.col("s")), "left").select("source_", "base", "source_size", "target", (F.col("prefix") + F.when(2 * F.col("budget") > F.coalesce("edge", F.lit(0)), 1).otherwise(0)).alias("prefix"))
+    # Written, its size is known, and Spark broadcasts it while it is under its threshold instead of shuffling rows.
+    return written(bounds, "bounds")
 
 
 def _copies(rows: DataFrame, bounds: DataFrame, most: int) -> DataFrame:
