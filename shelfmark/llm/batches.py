@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: A function sees at most so many rows and, but for one longer text, so many bytes of text at once.
-ROWS, BYTES = 2048, 4 << 20
+ROWS, BYTES = 1024, 2 << 20
 
 
 def slices(batch: pa.RecordBatch, text: str, rows: int = ROWS, size: int = BYTES) -> Iterator[pa.RecordBatch]:

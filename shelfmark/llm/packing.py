@@ -26,7 +26,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Tokens of a row, and tokens of rests that are packed together.
 ROW, WINDOW = 2048, 1 << 20
 #: Pieces of text that a worker remembers, in tokens.
-MEMORY = 6_000_000
+MEMORY = 3_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
