@@ -5,7 +5,9 @@ from __future__ import annotations
 import random
 import re
 import string
+from bisect import bisect_left
 from functools import lru_cache
+from itertools import islice, takewhile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,7 +21,10 @@ ASSIGN = r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["'
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 CANDIDATE = r"[A-Za-z0-9+/_=.-]{16,}"
+PIECE = r"[^=/.]{16,}"
 LEAST_VALUE = 6
+#: Least length of a candidate and of its parts.
+LEAST = 16
 
 #: A candidate counts if its best format is likelier than ordinary text by so many nats, and so many a character.
 NATS, NATS_EACH = 10.0, 0.15
@@ -92,7 +97,9 @@ def fit(labelled: list[tuple[str, str]], ordinary: list[str], alpha: float = 0.0
                 fixed[i] = top
         words = [_symbols(s, fixed) for s in samples]
         lengths = [len(s) for s in samples]
-        model["formats"][name] = {"fixed": fixed, "least": min(lengths), "most": max(lengths), "automaton": infer(words, alpha).freeze(_SIZES)}
+        begins = re.compile("(?=" + "".join(re.escape(fixed[i]) if i in fixed else "." for i in range(max(fixed) + 1)) + ")") if fixed else None
+        symbols = {_CLASS.get(c, c) for s in samples for c in s}
+        model["formats"][name] = {"fixed": fixed, "begins": begins, "symbols": symbols, "least": min(lengths), "most": max(lengths), "automaton": infer(words, alpha).freeze(_SIZES)}
     model["ordinary"] = infer([_symbols(s, {}) for s in ordinary], alpha).freeze(_SIZES)
     return model
 
@@ -117,7 +124,61 @@ def score(model: dict, candidate: str) -> float:
     return best - log_likelihood(model["ordinary"], _symbols(candidate, {}))
 
 
-_ASSIGN, _ACCESS, _HEX, _CANDIDATE = map(re.compile, (ASSIGN, ACCESS, HEX, CANDIDATE))
+_ASSIGN, _ACCESS, _HEX, _CANDIDATE, _PIECE = map(re.compile, (ASSIGN, ACCESS, HEX, CANDIDATE, PIECE))
+_EDGE = re.compile(r"(?<![A-Za-z0-9])(?=.)")
+
+
+def _fires(value: float, length: int) -> bool:
+    return value >= NATS and value >= NATS_EACH * length
+
+
+def _walk(model: dict, form: dict, run: str, start: int):
+    """(end, nats beyond ordinary text) at each end that a credential of the format from start on may have.
+
+    It takes only characters that the format's samples have, and no letter or digit follows it.
+    """
+    states, ordinary = form["automaton"]["states"], model["ordinary"]["states"]
+    miss, miss_ordinary = form["automaton"]["miss"], model["ordinary"]["miss"]
+    fixed, symbols = form["fixed"], form["symbols"]
+    at = other = 0
+    value = 0.0
+    for i in range(start, min(len(run), start + form["most"])):
+        c = run[i]
+        kind = _CLASS.get(c, c)
+        if kind not in symbols:
+            return
+        step = states[at][0].get("=" + c if fixed.get(i - start) == c else kind)
+        at, gain = step or (0, miss)
+        step = ordinary[other][0].get(kind)
+        other, loss = step or (0, miss_ordinary)
+        value += gain - loss
+        n = i + 1 - start
+        if n >= LEAST and n >= form["least"] and (i + 1 == len(run) or not run[i + 1].isalnum()):
+            yield i + 1, value + states[at][1] - ordinary[other][1]
+
+
+def parts(model: dict, run: str) -> list[tuple[float, int, int]]:
+    """(score, start, end) of the run and of its parts that count as credentials, the likeliest first.
+
+    The run and its pieces between '=', '/' and '.' are held against every format, as they are and without what
+    ends a sentence. A format's credentials are also looked for from each place where its fixed characters
+    occur or, if it has none, from each place that no letter or digit precedes.
+    """
+    found: dict[tuple[int, int], float] = {}
+    for a, b in {(0, len(run)), *(m.span() for m in _PIECE.finditer(run))}:
+        for e in {b, a + len(run[a:b].rstrip(".-="))}:
+            if e - a >= LEAST and _fires(value := score(model, run[a:e]), e - a):
+                found[a, e] = value
+    for form in model["formats"].values():
+        done = 0
+        for m in (form["begins"] or _EDGE).finditer(run):
+            if m.start() < done:
+                continue
+            for e, value in _walk(model, form, run, m.start()):
+                if _fires(value, e - m.start()):
+                    found[m.start(), e] = max(value, found.get((m.start(), e), value))
+                    done = e if form["begins"] else done
+    return sorted(((v, a, e) for (a, e), v in found.items()), key=lambda x: (-x[0], x[1], -x[2]))
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -140,19 +201,28 @@ def find(text: str, model: dict, memo: dict | None = None) -> tuple[list[dict],
     covered = sorted((s, e) for s, _, e in base)
     scored, at = 0, 0
     for m in _CANDIDATE.finditer(text):
-        a, b = m.start(), m.end()
-        token = m.group().rstrip(".-=") if m.group().rstrip(".-=") else m.group()
-        b = a + len(token)
+        a, b, run = m.start(), m.end(), m.group()
         while at < len(covered) and covered[at][1] <= a:
             at += 1
-        value = memo.get(token)
-        if value is None:
-            value = score(model, token)
-            if len(memo) < 200_000 and len(token) < 200:
-                memo[token] = value
+        found = memo.get(run)
+        if found is None:
+            found = parts(model, run)
+            if len(memo) < 200_000 and len(run) < 200:
+                memo[run] = found
         scored += 1
-        if value >= NATS and value >= NATS_EACH * len(token) and not any(s < b and e > a for s, e in covered[max(0, at - 1) : at + 8]):
-            spans.append((a, len(BASE), b, False, value))
+        if not found:
+            continue
+        taken: list[tuple[int, int]] = []  # disjoint, in order
+        for s, e in takewhile(lambda x: x[0] < b, islice(covered, at, None)):
+            if taken and s < taken[-1][1]:
+                taken[-1] = (taken[-1][0], max(e, taken[-1][1]))
+            else:
+                taken.append((s, e))
+        for value, s, e in found:
+            i = bisect_left(taken, (a + s,))
+            if (i == len(taken) or taken[i][0] >= a + e) and (i == 0 or taken[i - 1][1] <= a + s):
+                taken.insert(i, (a + s, a + e))
+                spans.append((a + s, len(BASE), a + e, False, value))
     spans.sort(key=lambda s: s[:3])
     return [{"kind": (*BASE, "format")[k], "start": s, "end": e, "base": own, "score": v} for s, k, e, own, v in spans], scored
 
@@ -161,7 +231,8 @@ def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", model
     """(key, spans, scored) for each row: all spans of its whole text, and how many candidates were scored.
 
     spans: kind, start and end (code points, end exclusive), base (a fixed pattern found it) and score (nats,
-    for spans that an automaton found). Base spans always stay; a candidate that overlaps one adds nothing. A
+    for spans that an automaton found). Base spans always stay; a candidate, which is a run of characters or a part
+    of one (see parts()), adds nothing where it overlaps one or a likelier candidate; scored counts the runs. A
     null or empty text has no spans; rows that repeat are treated alike; a null key stays null; an empty table
     gives no rows. model: of fit(), else one inferred from labelled_credentials() (150 a format).
     """
