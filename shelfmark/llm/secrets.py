@@ -58,8 +58,8 @@ def labelled_credentials(each: int = 150, seed: int = 11) -> list[tuple[str, str
         "group token": lambda: f"glpat-{some(alnum + '_-', 20)}",
         "chat token": lambda: f"xox{r.choice('bpars')}-{some(string.digits, r.randint(10, 13))}-{some(string.digits, r.randint(10, 13))}-{some(alnum, 24)}",
         "map key": lambda: f"AIza{some(alnum + '_-', 35)}",
-        "payment key": lambda: f"{r.choice(['sk', 'pk', 'rk'])}_{r.choice(['live', 'test'])}_{some(alnum, r.choice([24, 24, 32]))}",
-        "web token": lambda: f"eyJ{some(alnum + '_-', r.randint(30, 60))}.eyJ{some(alnum + '_-', r.randint(40, 90))}.{some(alnum + '_-', 43)}",
+        "payment key": lambda: f"{r.choice(['sk', 'pk', 'rk'])}_{r.choice(['live', 'test'])}_{some(alnum, r.choice([24, 24, 32, r.randint(64, 110)]))}",
+        "web token": lambda: f"eyJ{some(alnum + '_-', r.randint(16, 120))}.eyJ{some(alnum + '_-', r.choice([r.randint(20, 90), r.randint(90, 1200)]))}.{some(alnum + '_-', r.choice([43, 43, 86, 342, 683]))}",
         "secret key": lambda: some(b64, 40),
         "package token": lambda: f"npm_{some(alnum, 36)}",
         "upper hex": lambda: some(hexa.upper(), r.choice([32, 40, 64])),
@@ -77,7 +77,8 @@ def ordinary_tokens(each: int = 300, seed: int = 12) -> list[str]:
     rules = [
         word, lambda: word().capitalize(), lambda: word().upper(), lambda: f"{word()}.{word().capitalize()}", lambda: f"{word(4)}-{word(4)}", lambda: f"{word(3)}_{word(3)}_{word(3)}",
         lambda: f"mail{digits(1)}.{word(3)}.com", lambda: f"www.{word(4)}.org/{word(3)}/{word(4)}", lambda: f"/{word(3)}/{word(3)}/{word(3)}.{r.choice(['html', 'py', 'txt'])}",
-        lambda: digits(r.randint(16, 22)), lambda: f"{digits(4)}-{digits(2)}-{digits(2)}-{digits(4)}-{digits(4)}", lambda: f"{digits(3)}.{digits(3)}.{digits(3)}.{digits(3)}", lambda: "=-_."[r.randrange(4)] * r.randint(16, 60), lambda: f"{word(3)}{digits(r.randint(1, 4))}.{word(3)}{digits(2)}", lambda: "".join(word(2).capitalize() for _ in range(4)), lambda: word(2) * r.randint(3, 9),
+        lambda: digits(r.randint(16, 22)), lambda: f"{digits(4)}-{digits(2)}-{digits(2)}-{digits(4)}-{digits(4)}", lambda: f"{digits(3)}.{digits(3)}.{digits(3)}.{digits(3)}", lambda: "=-_./+"[r.randrange(6)] * r.randint(16, 60), lambda: f"{word(3)}{digits(r.randint(1, 4))}.{word(3)}{digits(2)}", lambda: "".join(word(2).capitalize() for _ in range(4)), lambda: word(2) * r.randint(3, 9),
+        lambda: "_".join(word(3) for _ in range(r.randint(2, 9))).upper(), lambda: "-".join(word(3) for _ in range(r.randint(2, 9))).upper(), lambda: "".join(word(2).capitalize() for _ in range(r.randint(4, 12))),
     ]
     return [t for make in rules for t in (make() for _ in range(each // 4)) if len(t) >= 8]
 
@@ -96,10 +97,10 @@ def fit(labelled: list[tuple[str, str]], ordinary: list[str], alpha: float = 0.0
             if seen.count(top) >= 0.95 * len(seen):
                 fixed[i] = top
         words = [_symbols(s, fixed) for s in samples]
-        lengths = [len(s) for s in samples]
+        lengths = {len(s) for s in samples}
         begins = re.compile("(?=" + "".join(re.escape(fixed[i]) if i in fixed else "." for i in range(max(fixed) + 1)) + ")") if fixed else None
         symbols = {_CLASS.get(c, c) for s in samples for c in s}
-        model["formats"][name] = {"fixed": fixed, "begins": begins, "symbols": symbols, "least": min(lengths), "most": max(lengths), "automaton": infer(words, alpha).freeze(_SIZES)}
+        model["formats"][name] = {"fixed": fixed, "begins": begins, "symbols": symbols, "least": min(lengths), "length": lengths.pop() if len(lengths) == 1 else None, "automaton": infer(words, alpha).freeze(_SIZES)}
     model["ordinary"] = infer([_symbols(s, {}) for s in ordinary], alpha).freeze(_SIZES)
     return model
 
@@ -114,10 +115,14 @@ def standard_model() -> dict:
 
 
 def score(model: dict, candidate: str) -> float:
-    """Nats by which the likeliest format of fitting length beats ordinary text; minus infinity if no length fits."""
+    """Nats by which the likeliest format beats ordinary text; minus infinity if no format takes the length.
+
+    A format whose samples are all of one length asks for it. Others take any, but one below that of their
+    samples only with their fixed characters.
+    """
     best = float("-inf")
     for form in model["formats"].values():
-        if form["least"] <= len(candidate) <= form["most"]:
+        if form["length"] in (None, len(candidate)) and (len(candidate) >= form["least"] or form["begins"] and form["begins"].match(candidate)):
             best = max(best, log_likelihood(form["automaton"], _symbols(candidate, form["fixed"])))
     if best == float("-inf"):
         return best
@@ -142,7 +147,7 @@ def _walk(model: dict, form: dict, run: str, start: int):
     fixed, symbols = form["fixed"], form["symbols"]
     at = other = 0
     value = 0.0
-    for i in range(start, min(len(run), start + form["most"])):
+    for i in range(start, min(len(run), start + (form["length"] or len(run)))):
         c = run[i]
         kind = _CLASS.get(c, c)
         if kind not in symbols:
@@ -153,18 +158,20 @@ def _walk(model: dict, form: dict, run: str, start: int):
         other, loss = step or (0, miss_ordinary)
         value += gain - loss
         n = i + 1 - start
-        if n >= LEAST and n >= form["least"] and (i + 1 == len(run) or not run[i + 1].isalnum()):
+        if n >= (LEAST if form["begins"] else form["least"]) and form["length"] in (None, n) and (i + 1 == len(run) or not run[i + 1].isalnum()):
             yield i + 1, value + states[at][1] - ordinary[other][1]
 
 
 def parts(model: dict, run: str) -> list[tuple[float, int, int]]:
-    """(score, start, end) of the run and of its parts that count as credentials, the likeliest first.
+    """(score, start, end) of the run and of its parts that count as credentials, in order of preference.
 
     The run and its pieces between '=', '/' and '.' are held against every format, as they are and without what
     ends a sentence. A format's credentials are also looked for from each place where its fixed characters
-    occur or, if it has none, from each place that no letter or digit precedes.
+    occur or, if it has none, from each place that no letter or digit precedes. Those that begin with their
+    format's fixed characters, no letter or digit before them, come first, and then the likeliest.
     """
     found: dict[tuple[int, int], float] = {}
+    sure: set[tuple[int, int]] = set()
     for a, b in {(0, len(run)), *(m.span() for m in _PIECE.finditer(run))}:
         for e in {b, a + len(run[a:b].rstrip(".-="))}:
             if e - a >= LEAST and _fires(value := score(model, run[a:e]), e - a):
@@ -177,8 +184,11 @@ def parts(model: dict, run: str) -> list[tuple[float, int, int]]:
             for e, value in _walk(model, form, run, m.start()):
                 if _fires(value, e - m.start()):
                     found[m.start(), e] = max(value, found.get((m.start(), e), value))
-                    done = e if form["begins"] else done
-    return sorted(((v, a, e) for (a, e), v in found.items()), key=lambda x: (-x[0], x[1], -x[2]))
+                    if form["begins"]:
+                        done = e
+                        if not run[m.start() - 1 : m.start()].isalnum():
+                            sure.add((m.start(), e))
+    return sorted(((v, a, e) for (a, e), v in found.items()), key=lambda x: (x[1:] not in sure, -x[0], x[1], -x[2]))
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:

@@ -1,6 +1,8 @@
 """Secrets, personal data, chat formatting, language and quality, against plain versions and on odd input."""
 
+import base64
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -88,6 +90,30 @@ def test_secrets_inside_longer_runs():
     assert not any(secrets.find(t, model)[0] for t in quiet)
 
 
+def test_secrets_of_any_length():
+    r, model = random.Random(5), secrets.standard_model()
+    alnum = secrets.string.ascii_letters + secrets.string.digits
+    some = lambda chars, n: "".join(r.choice(chars) for _ in range(n))
+    coded = lambda claims: base64.urlsafe_b64encode(json.dumps(claims).encode()).decode().rstrip("=")
+    keys = []
+    for n in (1, 5, 20, 80, 300):
+        for signature in (43, 86, 342, 683):
+            claims = {"iss": "https://login.example.com/", "exp": 1700000000, "scope": " ".join(some("abcdefghij", 6) + ":read" for _ in range(n))}
+            keys.append(f"{coded({'alg': 'RS256', 'typ': 'JWT', 'kid': some(alnum, 12)})}.{coded(claims)}.{some(alnum + '_-', signature)}")
+    keys += [f"{kind}_live_{some(alnum, n)}" for kind in ("sk", "rk") for n in (24, 32, 48, 80, 99, 107, 200)]
+    keys += [some(alnum, n) for n in (24, 41, 64, 128, 500)] + [some("0123456789ABCDEF", n) for n in (32, 48, 96, 128)]
+    for key in keys:
+        for line in ("{}", "use {} now", "KEY={}", '"{}"'):
+            at = line.index("{}")
+            spans = [(s["start"], s["end"]) for s in secrets.find(line.format(key), model)[0]]
+            # without fixed characters at its beginning, what is glued to it may count in
+            assert (at, at + len(key)) in spans or ("_" not in key and "." not in key and any(s <= at and e >= at + len(key) for s, e in spans)), (line.format(key), spans)
+    words = "an be con de en er fe ge ha in ion ka lo ment no or pa qu re si tion un ver wo ya zu".split()
+    text = lambda n: "".join(r.choice(words) for _ in range(n))
+    quiet = [text(n) for n in (30, 100, 1000)] + ["x" * 5000, "ab" * 500, "/".join(text(4) for _ in range(60)), "-".join(text(3) for _ in range(60)), "_".join(text(3) for _ in range(60)).upper(), "".join(text(2).capitalize() for _ in range(40)), some("0123456789", 500)]
+    assert not any(secrets.find(t, model)[0] for t in quiet if not secrets.base_spans(t))
+
+
 def test_pii_query_and_model(spark, tmp_path):
     texts = [None, "", "é a.b@mail.example.com, 192.168.0.1; +1 (743) 555-3824.", "call (743) 555-3824 now", "ssn 123-45-6789", "on 2024-01-02 at 12:30, v1.2.3", "9" * 100_000, "a" * 200_000]
     frame(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
