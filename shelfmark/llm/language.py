@@ -14,8 +14,10 @@ from shelfmark.llm.shingles import text_bytes
 WINDOW, EMBED, WIDTHS, FILTERS = 512, 12, (2, 3, 4), 12
 WIDEST = max(WIDTHS)
 STEP = WINDOW - WIDEST + 1
-#: Bounds of the training sample: languages (the most frequent), texts of a language, and characters of a text.
-LANGUAGES, TEXTS, CHARS = 64, 256, 1200
+#: Bounds of the training sample: texts in all (but one at least of each language), of a language, and characters of a text.
+PASSAGES, TEXTS, CHARS = 1 << 14, 256, 1200
+#: Steps of training for up to so many languages; for more, in proportion.
+STEPS, LANGUAGES = 260, 64
 UNKNOWN = "und"
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -32,17 +34,16 @@ def fold(data: np.ndarray) -> np.ndarray:
 
 
 def training_texts(docs: DataFrame, usable: Column, key: str = "doc_id", text: str = "text", lang: str = "lang") -> list[tuple[str, str]]:
-    """(language, passage) pairs from the usable rows: for each of the LANGUAGES most frequent languages, of each
-    of TEXTS hash buckets the row with the least hash of its key, and of that CHARS characters from a hashed
-    place. The rest of the rows only count towards which languages are frequent. Rows without key, text
-    or language don't take part.
+    """(language, passage) pairs from the usable rows: for each language, of each of TEXTS hash buckets (of fewer,
+    if PASSAGES asks for it) the row with the least hash of its key, and of that CHARS characters from a hashed
+    place. Rows without key, text or language don't take part.
     """
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l"), usable.alias("u")).where("u and k is not null and l is not null")
-    most = rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(LANGUAGES).select("l")
+    texts = max(1, min(TEXTS, PASSAGES // max(1, rows.select("l").distinct().count())))
     rows = rows.withColumn("h", F.xxhash64("k"))
-    least = rows.where("t is not null").groupBy("l", F.pmod("h", F.lit(TEXTS)).alias("b")).agg(F.min("h").alias("h")).join(most, "l").select("l", "h")
+    least = rows.where("t is not null").groupBy("l", F.pmod("h", F.lit(texts)).alias("b")).agg(F.min("h").alias("h")).select("l", "h")
     place = F.lit(1) + F.pmod(F.xxhash64(F.lit("place"), "h"), F.greatest(F.length("t") - CHARS, F.lit(1))).cast("int")
-    picked = rows.join(F.broadcast(least), ["l", "h"]).groupBy("l", "h").agg(F.min(F.substring("t", place, F.lit(CHARS))).alias("t"))  # at most LANGUAGES * TEXTS keys
+    picked = rows.join(F.broadcast(least), ["l", "h"]).groupBy("l", "h").agg(F.min(F.substring("t", place, F.lit(CHARS))).alias("t"))  # at most PASSAGES keys, or one a language
     return sorted((r["l"], r["t"]) for r in picked.where(F.col("t").rlike(r"\p{L}")).collect())
 
 
@@ -150,14 +151,15 @@ def predict(net: Network, tables: tuple, data: np.ndarray, offsets: np.ndarray,
     return sums / np.maximum(weight, 1)[:, None], np.bincount(text, minlength=n)
 
 
-def fit(pairs: list[tuple[str, str]], steps: int = 260) -> Network | None:
-    """A network from (language, passage) pairs; None without any."""
+def fit(pairs: list[tuple[str, str]], steps: int | None = None) -> Network | None:
+    """A network from (language, passage) pairs; None without any. Steps: as STEPS and LANGUAGES say, unless given."""
     if not pairs:
         return None
     classes = sorted({l for l, _ in pairs})
     data, offsets = text_bytes(pa.array([t for _, t in pairs]))
     start, end, text = cut(data, offsets)
     net = Network(classes)
+    steps = steps or STEPS * max(LANGUAGES, len(classes)) // LANGUAGES
     net.train(window_bytes(fold(data), start, end), np.array([classes.index(pairs[i][0]) for i in text]), steps)
     return net
 

@@ -231,3 +231,19 @@ def test_votes_are_exact():
 def test_empty_table(spark, tmp_path, name):
     frame(spark, []).limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     assert queries.queries()[name](spark, str(tmp_path)).count() == 0
+
+
+def test_every_language_is_learned(spark):
+    r = random.Random(8)
+    rows = []
+    for i in range(100):
+        words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 7))) for _ in range(12)]
+        rows += [(len(rows) + j, " ".join(r.choice(words) for _ in range(80)), f"l{i:03d}") for j in range(12 if i < 70 else 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    net = language.fit(language.training_texts(docs, F.lit(True)))
+    assert net.classes == sorted({x[2] for x in rows})
+    got = {x.doc_id: x for x in language.identify(docs, net).collect()}
+    for names in ({x[2] for x in rows[: 70 * 12]}, {x[2] for x in rows[70 * 12 :]}):
+        own = [x for x in rows if x[2] in names]
+        right = [got[x[0]].lang_pred == x[2] and got[x[0]].score >= 0.3 for x in own]
+        assert sum(right) > 0.95 * len(own), sum(right) / len(own)
