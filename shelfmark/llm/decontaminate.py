@@ -3,7 +3,8 @@
 A window that holds no shingle of any item has similarity 0 with all of them, so only the others are
 fingerprinted: for each place where a text has an item's shingle, all windows of the item's size around it.
 Every item whose fingerprint is within RADIUS
-bits is a candidate: RADIUS + 1 blocks, of which at least one must agree. Candidates are settled by
+bits is a candidate: RADIUS + 1 blocks, of which at least one must agree. So is every item of whose shingles a
+window holds the weight that the similarity asks for, however far the fingerprints are. Candidates are settled by
 sum(min) / sum(max) over both multisets of shingles, each shingle weighing the characters of its words.
 """
 
@@ -22,7 +23,8 @@ from shelfmark.llm.batches import map_texts
 from shelfmark.llm.shingles import SHINGLE_WORDS, mix64, shingle_hashes, text_bytes, word_bounds, word_hashes
 
 SIMILARITY = 0.8
-#: At a similarity of 0.8 two of 64 bits in 13 differ on average; RADIUS is over three deviations beyond.
+#: At a similarity of 0.8 13 of 64 bits differ on average; RADIUS is over three deviations beyond, fewer where the
+#: words that differ are long. What it misses is found by weight.
 BITS, RADIUS = 64, 20
 #: Words of the items that are looked for in one pass over the documents (their index then takes some 30 MB).
 WORDS_A_PASS = 400_000
@@ -106,12 +108,13 @@ def weighted_similarity(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.nda
 
 @dataclass
 class Index:
-    """Items by number: size in words, shingles and weights; postings of each shingle; fingerprints."""
+    """Items by number: size in words, shingles and weights, and these in all; postings of each shingle; fingerprints."""
 
     ids: list
     sizes: np.ndarray
     shingles: list[np.ndarray]
     weights: list[np.ndarray]
+    totals: np.ndarray
     by_size: dict
     prints: MultiIndex
 
@@ -143,7 +146,35 @@ def build(items: list[tuple]) -> Index | None:
         by_size[size] = (h[order], item[order], filter_)
     starts = np.concatenate([[0], np.cumsum([len(s) for s in shingles])[:-1]])
     prints = simhash(np.concatenate(shingles), np.concatenate(weights), starts)
-    return Index(ids, np.array(sizes), shingles, weights, by_size, MultiIndex(prints, RADIUS))
+    return Index(ids, np.array(sizes), shingles, weights, np.array([w.sum() for w in weights]), by_size, MultiIndex(prints, RADIUS))
+
+
+def by_weight(index: Index, runs: Runs, have: np.ndarray, size: int, hit: np.ndarray, item: np.ndarray, similarity: float):
+    """(text, item, start, end) in words of all windows that can have the similarity to an item, from (run, item) pairs that share a shingle.
+
+    What both share weighs no more than the window's places with a shingle of the item, and at least the similarity
+    times the item.
+    """
+    order = np.unique(hit * len(index.ids) + item)
+    hit, item = order // len(index.ids), order % len(index.ids)
+    group, of = np.unique(runs.text[hit] * len(index.ids) + item, return_inverse=True)
+    least = similarity * index.totals * (1 - 1e-9)
+    heavy = np.bincount(of, weights=runs.weight[hit], minlength=len(group)) >= least[group % len(index.ids)]
+    hit, of = hit[heavy[of]], of[heavy[of]]
+    order = np.argsort(of, kind="stable")
+    hit, of = hit[order], of[order]
+    for g, places in zip(group[heavy].tolist(), np.split(hit, np.flatnonzero(np.diff(of)) + 1), strict=False):
+        t, i = divmod(g, len(index.ids))
+        long = min(int(index.sizes[i]), int(have[t]))
+        at, sums = runs.place[places], np.concatenate([[0], np.cumsum(runs.weight[places])])
+        # A window's sum changes only where a place enters or leaves, so ranges of starts are as good as all of them.
+        start = np.unique(np.concatenate([[0], at + 1, np.maximum(at - long + size, 0)]))
+        start = start[start <= have[t] - long]
+        sum_ = sums[np.searchsorted(at, start + long - size, side="right")] - sums[np.searchsorted(at, start)]
+        end = np.append(start[1:], have[t] - long + 1)
+        for a, b in zip(start[sum_ >= least[i]].tolist(), end[sum_ >= least[i]].tolist(), strict=True):
+            for s in range(a, b):
+                yield t, i, s, s + long
 
 
 def find(index: Index, column: pa.Array, similarity: float) -> list[list[dict]]:
@@ -162,6 +193,19 @@ def find(index: Index, column: pa.Array, similarity: float) -> list[list[dict]]:
         if not len(hit):
             continue
         at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        heavy = by_weight(index, runs, have, size, hit, item[at], similarity)
+        settled: set[tuple] = set()
+
+        def settle(t: int, i: int, s: int, e: int) -> None:
+            if (t, i, s, e) in settled:
+                return
+            settled.add((t, i, s, e))
+            own = slice(int(runs.first[t]) + s, int(runs.first[t]) + e - size + 1)
+            value = weighted_similarity(runs.hash[own], runs.weight[own], index.shingles[i], index.weights[i])
+            best = out[t].get(i)
+            if value >= similarity and (best is None or (value, -s) > (best["similarity"], -best["start_word"])):
+                out[t][i] = {"item_id": index.ids[i], "similarity": value, "start_word": s, "end_word": e}
+
         # All windows of an item's size that hold the shingle; at the ends of a text they are moved into it.
         kinds, kind = np.unique(index.sizes[item[at]], return_inverse=True)
         place_of = np.unique(hit * len(kinds) + kind)
@@ -183,11 +227,9 @@ def find(index: Index, column: pa.Array, similarity: float) -> list[list[dict]]:
             rows = np.repeat(first - starts, n) + np.arange(int(n.sum()))
             prints = simhash(runs.hash[rows], runs.weight[rows], starts)
             for q, i in zip(*(x.tolist() for x in index.prints.within(prints)), strict=True):
-                own = slice(int(first[q]), int(first[q] + n[q]))
-                value = weighted_similarity(runs.hash[own], runs.weight[own], index.shingles[i], index.weights[i])
-                t, s, e = int(part[q, 0]), int(part[q, 1]), int(part[q, 1] + part[q, 2])
-                if value >= similarity and value > out[t].get(i, {"similarity": 0.0})["similarity"]:
-                    out[t][i] = {"item_id": index.ids[i], "similarity": value, "start_word": s, "end_word": e}
+                settle(int(part[q, 0]), i, int(part[q, 1]), int(part[q, 1] + part[q, 2]))
+        for window in heavy:
+            settle(*window)
     return [[o[i] for i in sorted(o)] for o in out]
 
 
