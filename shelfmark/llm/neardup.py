@@ -196,9 +196,9 @@ def _compare(percent: int):
     return run
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_shingles, print, sketch, bands) of each row; print, sketch and bands are null without shingles."""
-    return map_texts(docs, key, text, lambda: _prints, "n_shingles bigint, print binary, sketch array<bigint>, bands array<bigint>")
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", also: dict | None = None) -> DataFrame:
+    """(key, *also, n_shingles, print, sketch, bands) of each row; print, sketch and bands are null without shingles."""
+    return map_texts(docs, key, text, lambda: _prints, "n_shingles bigint, print binary, sketch array<bigint>, bands array<bigint>", also)
 
 
 def candidates(prints: DataFrame, key: str, percent: int = PERCENT) -> DataFrame:
@@ -284,13 +284,24 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """The rows of docs, all columns, without those that near_duplicates() doesn't keep.
+    """The rows of docs, all columns, one of each group of near-duplicates: that with the least key.
 
-    Of rows that repeat a kept key one stays, that with the least hash of its columns. Rows without key stay.
+    What counts is a row's own text: rows that repeat a key with texts that no links join are of different
+    groups, and each group has its row. Of a key's rows without shingles one stays, as does one of rows that
+    agree in key and text: that with the least hash of its columns. Rows without key stay.
     """
-    kept = near_duplicates(docs, key, text, percent).where(F.col("kept") & F.col(key).isNotNull()).select(F.col(key).alias("_kept")).distinct()
+    keyed = docs.where(F.col(key).isNotNull())
+    node = F.unhex(F.md5(F.concat(F.col(key).cast("string"), F.lit("\0"), F.coalesce(F.col(text).cast("string"), F.lit("")))))
+    texts = keyed.select(node.alias("node"), F.col(text).alias("text"), F.col(key).alias("own"))
+    prints = written(fingerprints(texts, "node", "text", {"own": F.col("own")}), "prints")
+    component = connected_components(links(texts, prints, "node", "text", percent))
+    some = prints.where(F.col("print").isNotNull()).select("node", "own", "print")
+    reps = some.groupBy("print").agg(F.min("node").alias("node"), F.min(F.struct("own", "node")).alias("first"))
+    first = reps.join(component, "node", "left").groupBy(F.coalesce("component", "node").alias("group")).agg(F.min("first").alias("first")).select("first.node")
+    alone = prints.where(F.col("print").isNull()).groupBy("own").agg(F.min("node").alias("node")).select("node")
+    kept = first.unionByName(alone).select(F.col("node").alias("_kept"))
     columns = [F.col(f"`{c}`") for c in docs.columns]
     hashed = [F.col(f"`{f.name}`") for f in docs.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
-    # One shuffle by key: the join finds the grouping's rows where they are.
-    one = docs.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.min_by(F.struct(*columns), F.xxhash64(*hashed)).alias("_row"))
-    return one.join(kept, F.col("_key") == F.col("_kept"), "left_semi").select("_row.*").unionByName(docs.where(F.col(key).isNull()))
+    # One shuffle by node: the join finds the grouping's rows where they are.
+    one = keyed.groupBy(node.alias("_node")).agg(F.min_by(F.struct(*columns), F.xxhash64(*hashed)).alias("_row"))
+    return one.join(kept, F.col("_node") == F.col("_kept"), "left_semi").select("_row.*").unionByName(docs.where(F.col(key).isNull()))

@@ -83,6 +83,18 @@ def test_near_duplicates_against_all_pairs(spark, percent):
     assert neardup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_rows_that_repeat_a_key_with_other_texts(spark):
+    text = lambda name: " ".join(f"{name}{i}" for i in range(100))
+    near = text("a") + " more"
+    rows = [(1, text("a")), (2, near), (2, text("b")), (3, text("c")), (3, text("d")), (3, text("d")), (4, text("c")), (5, near), (5, None), (5, None), (None, text("a"))]
+    rows += [(0, " ".join(f"m{i}" for i in range(100))), (0, " ".join(f"n{i}" for i in range(100))), (6, text("m")), (7, text("n") + " x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("node", F.lit("clash")).withColumn("own", F.lit(1))
+    kept = neardup.deduplicate(docs)
+    want = [(1, text("a")), (2, text("b")), (3, text("c")), (3, text("d")), (5, None), (None, text("a")), (0, text("m")), (0, text("n"))]
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(want, key=str)
+
+
 def test_hub_group_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 5)
     r = random.Random(9)
