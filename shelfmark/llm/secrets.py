@@ -83,8 +83,15 @@ def ordinary_tokens(each: int = 300, seed: int = 12) -> list[str]:
     return [t for make in rules for t in (make() for _ in range(each // 4)) if len(t) >= 8]
 
 
-def fit(labelled: list[tuple[str, str]], ordinary: list[str], alpha: float = 0.05) -> dict:
-    """Automata by format, and the background. Places where nearly all samples of a format agree keep their character; others become classes."""
+def ordinary_identifiers(each: int = 300, seed: int = 13) -> list[str]:
+    """Identifiers that are no secrets though their characters are random, for an automaton of their own."""
+    r = random.Random(seed)
+    uuid = lambda: "-".join("".join(r.choice("0123456789abcdef") for _ in range(n)) for n in (8, 4, 4, 4, 12))
+    return [t for _ in range(each) for t in (uuid(), uuid().upper())]
+
+
+def fit(labelled: list[tuple[str, str]], ordinary: list[list[str]], alpha: float = 0.05) -> dict:
+    """Automata by format, and one for each kind of ordinary token. Places where nearly all samples of a format agree keep their character; others become classes."""
     groups: dict[str, list[str]] = {}
     for name, sample in labelled:
         groups.setdefault(name, []).append(sample)
@@ -101,7 +108,7 @@ def fit(labelled: list[tuple[str, str]], ordinary: list[str], alpha: float = 0.0
         begins = re.compile("(?=" + "".join(re.escape(fixed[i]) if i in fixed else "." for i in range(max(fixed) + 1)) + ")") if fixed else None
         symbols = {_CLASS.get(c, c) for s in samples for c in s}
         model["formats"][name] = {"fixed": fixed, "begins": begins, "symbols": symbols, "least": min(lengths), "length": lengths.pop() if len(lengths) == 1 else None, "automaton": infer(words, alpha).freeze(_SIZES)}
-    model["ordinary"] = infer([_symbols(s, {}) for s in ordinary], alpha).freeze(_SIZES)
+    model["ordinary"] = [infer([_symbols(s, {}) for s in kind], alpha).freeze(_SIZES) for kind in ordinary]
     return model
 
 
@@ -111,11 +118,11 @@ def _symbols(sample: str, fixed: dict[int, str]) -> list[str]:
 
 @lru_cache(maxsize=1)
 def standard_model() -> dict:
-    return fit(labelled_credentials(), ordinary_tokens())
+    return fit(labelled_credentials(), [ordinary_tokens(), ordinary_identifiers()])
 
 
 def score(model: dict, candidate: str) -> float:
-    """Nats by which the likeliest format beats ordinary text; minus infinity if no format takes the length.
+    """Nats by which the likeliest format beats the likeliest kind of ordinary token; minus infinity if no format takes the length.
 
     A format whose samples are all of one length asks for it. Others take any, but one below that of their
     samples only with their fixed characters.
@@ -126,7 +133,7 @@ def score(model: dict, candidate: str) -> float:
             best = max(best, log_likelihood(form["automaton"], _symbols(candidate, form["fixed"])))
     if best == float("-inf"):
         return best
-    return best - log_likelihood(model["ordinary"], _symbols(candidate, {}))
+    return best - max(log_likelihood(o, _symbols(candidate, {})) for o in model["ordinary"])
 
 
 _ASSIGN, _ACCESS, _HEX, _CANDIDATE, _PIECE = map(re.compile, (ASSIGN, ACCESS, HEX, CANDIDATE, PIECE))
@@ -142,11 +149,10 @@ def _walk(model: dict, form: dict, run: str, start: int):
 
     It takes only characters that the format's samples have, and no letter or digit follows it.
     """
-    states, ordinary = form["automaton"]["states"], model["ordinary"]["states"]
-    miss, miss_ordinary = form["automaton"]["miss"], model["ordinary"]["miss"]
+    states, miss = form["automaton"]["states"], form["automaton"]["miss"]
     fixed, symbols = form["fixed"], form["symbols"]
-    at = other = 0
-    value = 0.0
+    at, value = 0, 0.0
+    others = [[o["states"], o["miss"], 0, 0.0] for o in model["ordinary"]]  # .., state, nats so far
     for i in range(start, min(len(run), start + (form["length"] or len(run)))):
         c = run[i]
         kind = _CLASS.get(c, c)
@@ -154,12 +160,14 @@ def _walk(model: dict, form: dict, run: str, start: int):
             return
         step = states[at][0].get("=" + c if fixed.get(i - start) == c else kind)
         at, gain = step or (0, miss)
-        step = ordinary[other][0].get(kind)
-        other, loss = step or (0, miss_ordinary)
-        value += gain - loss
+        value += gain
+        for o in others:
+            step = o[0][o[2]][0].get(kind)
+            o[2], loss = step or (0, o[1])
+            o[3] += loss
         n = i + 1 - start
         if n >= (LEAST if form["begins"] else form["least"]) and form["length"] in (None, n) and (i + 1 == len(run) or not run[i + 1].isalnum()):
-            yield i + 1, value + states[at][1] - ordinary[other][1]
+            yield i + 1, value + states[at][1] - max(o[3] + o[0][o[2]][1] for o in others)
 
 
 def parts(model: dict, run: str) -> list[tuple[float, int, int]]:
