@@ -6,17 +6,26 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: A function sees at most so many rows and, but for one longer text, so many bytes of text at once.
-ROWS, BYTES = 1024, 2 << 20
+ROWS, BYTES = 1024, 1 << 19
+#: Bytes of a batch that Spark sends to Python (a longer row goes alone). Spark's own 64 MB stand in the JVM and in Python at once.
+BATCH_BYTES = 1 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def slices(batch: pa.RecordBatch, text: str, rows: int = ROWS, size: int = BYTES) -> Iterator[pa.RecordBatch]:
-    """Pieces of a batch in order, within the bounds above."""
-    column = batch.column(batch.schema.get_field_index(text))
+def bound_batches(spark: SparkSession) -> None:
+    """Hold Arrow batches of this session to BATCH_BYTES, unless it asks for less."""
+    if spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() > BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
+def slices(batch: pa.RecordBatch | pa.Array, text: str | None = None, rows: int = ROWS, size: int = BYTES) -> Iterator:
+    """Pieces of a batch (by its column text) or of an array of texts, in order, within the bounds above."""
+    column = batch if text is None else batch.column(batch.schema.get_field_index(text))
     lengths = pc.fill_null(pc.binary_length(column), 0).to_pylist()
     at = held = 0
     for i, n in enumerate(lengths):
@@ -28,6 +37,22 @@ def slices(batch: pa.RecordBatch, text: str, rows: int = ROWS, size: int = BYTES
         yield batch.slice(at)
 
 
+def text_filter(docs: DataFrame, text: str, make: Callable[[], Callable[[pa.Array], pa.Array]]) -> DataFrame:
+    """The rows of docs, all columns, for whose text the function that make() gives in a worker says true.
+
+    Only the text goes to Python, once, and only booleans come back.
+    """
+    bound_batches(docs.sparkSession)
+
+    def keep(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        apply = make()
+        for batch in batches:
+            parts = [apply(piece) for piece in slices(batch)]
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.bool_())
+
+    return docs.where(F.arrow_udf(keep, "boolean")(F.col(f"`{text}`").cast("string")))
+
+
 def map_texts(docs: DataFrame, key: str, text: str, make: Callable[[], Callable[[pa.Array], list[pa.Array]]], schema: str, also: dict | None = None) -> DataFrame:
     """(key, *also, *schema) for each row of docs; make() gives, in a worker, what maps a text column to the columns of schema.
 
@@ -35,6 +60,7 @@ def map_texts(docs: DataFrame, key: str, text: str, make: Callable[[], Callable[
     columns, whatever their names, don't matter. Key and `also` pass through unchanged.
     """
     also = also or {}
+    bound_batches(docs.sparkSession)
     source = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text"), *[c.alias(f"_also_{n}") for n, c in also.items()])
     fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     kept = [T.StructField("_key", source.schema["_key"].dataType), *[T.StructField(f"_also_{n}", source.schema[f"_also_{n}"].dataType) for n in also]]

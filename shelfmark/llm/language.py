@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.batches import map_texts
+from shelfmark.llm.batches import map_texts, text_filter
 from shelfmark.llm.shingles import text_bytes
 
 #: The network: bytes of a window, embedding, filter widths and filters of each width.
@@ -192,3 +192,24 @@ def identify(docs: DataFrame, net: Network | None, key: str = "doc_id", text: st
     rows = map_texts(docs, key, text, make, "pred string, p double, n_windows bigint", also | {"_letters": letters})
     known = F.col("_letters") & F.col("pred").isNotNull()
     return rows.select(key, *also, F.when(known, F.col("pred")).otherwise(UNKNOWN).alias("lang_pred"), F.when(known, F.col("p")).otherwise(0.0).alias("score"), "n_windows")
+
+
+def keep_known(docs: DataFrame, net: Network | None, least: float, text: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose text identify() gives a language with a score of at least `least`.
+
+    Rows without text or without a letter in it go, and all rows if net is None; rows that repeat go or stay
+    together; an empty table gives no rows. Texts go to Python once and only decisions come back.
+    """
+    if net is None:
+        return docs.limit(0)
+
+    def make():
+        tables = net.tables()
+
+        def apply(column: pa.Array) -> pa.Array:
+            p, _ = predict(net, tables, *text_bytes(column))
+            return pa.array(p.max(axis=1) >= least)
+
+        return apply
+
+    return text_filter(docs.where(F.col(f"`{text}`").rlike(r"\p{L}")), text, make)

@@ -18,15 +18,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfmark.llm.batches import slices
+from shelfmark.llm.batches import bound_batches, slices
 from shelfmark.llm.shingles import mix64, text_bytes, word_hashes
 
 #: Fixed value: how the vocabulary's texts are cut before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Tokens of a row, and tokens of rests that are packed together.
 ROW, WINDOW = 2048, 1 << 20
-#: Pieces of text that a worker remembers, in tokens.
-MEMORY = 3_000_000
+#: Pieces of text that a task remembers, and the tokens of these (some 17 MB together).
+SLOTS, MEMORY = 1 << 19, 1 << 21
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -39,20 +39,17 @@ class Tokens:
     """Token ids of texts. Equal pieces between single blanks are looked up, not merged again.
 
     A cut before a single blank or line feed with other than white space on both sides is where PATTERN
-    cuts anyhow, so the ids are those of the whole text.
+    cuts anyhow, so the ids are those of the whole text. What is remembered has a fixed size: a piece goes to the
+    slot that its hash names, in place of what is there, and its ids to a buffer; when that is full, all is forgotten.
     """
 
-    def __init__(self, ranks: dict[bytes, int]) -> None:
+    def __init__(self, ranks: dict[bytes, int], slots: int = SLOTS, memory: int = MEMORY) -> None:
         import tiktoken
 
         self.coder = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self._reset()
-
-    def _reset(self) -> None:
-        self.known = np.zeros(0, np.uint64)
-        self.at = np.zeros(0, np.int64)
-        self.size = np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
+        self.mask = np.uint64(slots - 1)
+        self.key, self.at, self.size = np.zeros(slots, np.uint64), np.zeros(slots, np.int32), np.full(slots, -1, np.int32)
+        self.ids, self.used = np.zeros(memory, np.uint32), 0
 
     def _cuts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Starts of pieces: of each text, and of each cut."""
@@ -81,25 +78,26 @@ class Tokens:
         # Hashes tell upper from lower case: 0x01 is added where A-Z stands, by hashing the folded bytes with their case.
         keys = mix64(word_hashes(data, starts, ends) ^ _case_hash(data, starts, ends))
         distinct, first, which = np.unique(keys, return_index=True, return_inverse=True)
-        place = np.minimum(np.searchsorted(self.known, distinct), max(0, len(self.known) - 1))
-        new = self.known[place] != distinct if len(self.known) else np.ones(len(distinct), dtype=bool)
-        if new.any():
-            if len(self.ids) > MEMORY:
-                self._reset()
-                new[:] = True
-            pieces = [data[starts[k] : ends[k]].tobytes().decode("utf-8", "replace") for k in first[new]]
-            made = [self.coder.encode_ordinary(p) for p in pieces]
-            size = np.fromiter(map(len, made), np.int64, len(made))
-            at = len(self.ids) + np.cumsum(size) - size
-            self.ids = np.concatenate([self.ids, np.fromiter((t for m in made for t in m), np.uint32, int(size.sum()))])
-            known = np.concatenate([self.known, distinct[new]])
-            order = np.argsort(known)
-            self.known, self.at, self.size = known[order], np.concatenate([self.at, at])[order], np.concatenate([self.size, size])[order]
-            place = np.searchsorted(self.known, distinct)
-        size, at = self.size[place][which], self.at[place][which]
+        slot = (distinct & self.mask).astype(np.int64)
+        known = (self.key[slot] == distinct) & (self.size[slot] >= 0)
+        at, size = self.at[slot].astype(np.int64), self.size[slot].astype(np.int64)
+        new, ids = np.flatnonzero(~known), self.ids
+        if len(new):
+            made = [self.coder.encode_ordinary(data[starts[k] : ends[k]].tobytes().decode("utf-8", "replace")) for k in first[new]]
+            size[new] = np.fromiter(map(len, made), np.int64, len(made))
+            at[new] = self.used + np.cumsum(size[new]) - size[new]
+            fresh = np.fromiter((t for m in made for t in m), np.uint32, int(size[new].sum()))
+            if self.used + len(fresh) <= len(ids):
+                ids[self.used : self.used + len(fresh)] = fresh
+                self.used += len(fresh)
+                self.key[slot[new]], self.at[slot[new]], self.size[slot[new]] = distinct[new], at[new], size[new]
+            else:
+                ids = np.concatenate([ids[: self.used], fresh])
+                self.size[:] = -1
+                self.used = 0
+        size, at = size[which], at[which]
         before = np.concatenate([[0], np.cumsum(size)])
-        ids = self.ids[np.repeat(at - before[:-1], size) + np.arange(before[-1])]
-        return ids, before[np.searchsorted(starts, offsets)]
+        return ids[np.repeat(at - before[:-1], size) + np.arange(before[-1])], before[np.searchsorted(starts, offsets)]
 
 
 def _case_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -185,6 +183,7 @@ def pack(docs: DataFrame, vocabulary: str, row: int = ROW, key: str = "doc_id",
     no segment; a null key stays null in doc_ids; rows that repeat are packed each; an empty table gives no
     rows. vocabulary: a path that the driver can read; its ranks travel to the executors (under 2 MB).
     """
+    bound_batches(docs.sparkSession)
     ranks = read_ranks(vocabulary)
     kind = np.dtype("<u2" if len(ranks) <= 1 << 16 else "<u4")
     shared = docs.sparkSession.sparkContext.broadcast(ranks)  # as long as the vocabulary, whatever the documents
@@ -239,7 +238,10 @@ def pack(docs: DataFrame, vocabulary: str, row: int = ROW, key: str = "doc_id",
 
 
 def write_packed(packed: DataFrame, path: str) -> None:
-    """Packed rows as parquet files under path, one folder a shard, rows in order within a file."""
+    """Packed rows as parquet files under path, one folder a shard, rows in order within a file.
+
+    packed is what pack() returns; no row of it has a null; an empty one writes no shard. An existing path is an error.
+    """
     packed.sortWithinPartitions("shard", "row").write.partitionBy("shard").parquet(path)
 
 
