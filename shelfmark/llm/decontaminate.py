@@ -1,11 +1,14 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming lookup, exact weighted shingles.
 
 A window that holds no shingle of any item has similarity 0 with all of them, so only the others are
-fingerprinted: for each place where a text has an item's shingle, all windows of the item's size around it.
-Every item whose fingerprint is within RADIUS
-bits is a candidate: RADIUS + 1 blocks, of which at least one must agree. So is every item of whose shingles a
-window holds the weight that the similarity asks for, however far the fingerprints are. Candidates are settled by
-sum(min) / sum(max) over both multisets of shingles, each shingle weighing the characters of its words.
+fingerprinted: around each place where a text has an item's shingle, all windows of the item's size. The
+windows of one size that touch are one run, and running sums over the run's signed weights give every window's
+fingerprint by a difference, so a run costs its length, not its windows times theirs.
+
+Items whose fingerprint is within RADIUS bits are candidates: of a few wide blocks of bits at least one differs in
+no more than RADIUS / blocks. So is every item of whose shingles a window holds the weight that the similarity
+asks for, however far the fingerprints are. Candidates are settled by sum(min) / sum(max) over both multisets
+of shingles, each shingle weighing the characters of its words.
 """
 
 from __future__ import annotations
@@ -19,15 +22,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from shelfmark.llm.batches import map_texts
+from shelfmark.llm.batches import map_texts, text_filter
 from shelfmark.llm.shingles import SHINGLE_WORDS, mix64, shingle_hashes, text_bytes, word_bounds, word_hashes
 
 SIMILARITY = 0.8
-#: At a similarity of 0.8 13 of 64 bits differ on average; RADIUS is over three deviations beyond, fewer where the
-#: words that differ are long. What it misses is found by weight.
-BITS, RADIUS = 64, 20
+#: At a similarity of 0.8 13 of 64 bits differ on average, so the radius finds most windows that are near and nearly
+#: all that are nearer; the rest is found by weight.
+BITS, RADIUS = 64, 15
+#: Blocks of an index of few fingerprints and of one of at least so many.
+FEW_BLOCKS, MANY_BLOCKS, MANY = 8, 4, 12_000
 #: Words of the items that are looked for in one pass over the documents (their index then takes some 30 MB).
 WORDS_A_PASS = 400_000
+#: Shingles that are summed at once, starts of a run that are taken at once, and pairs that are expanded at once.
+SUM_ROWS, STARTS, PAIRS = 1 << 14, 1 << 11, 1 << 20
 _FILTER = 22
 
 _KEEP = np.ones(256, dtype=bool)
@@ -67,114 +74,202 @@ def simhash(hashes: np.ndarray, weights: np.ndarray, starts: np.ndarray) -> np.n
     return np.packbits(np.add.reduceat(bits * weights[:, None], starts, axis=0) > 0, axis=1).view(np.uint64)[:, 0]
 
 
+def window_prints(runs: Runs, row: np.ndarray, count: np.ndarray, n: np.ndarray):
+    """Yields (run, fingerprint) arrays of windows, in order: of run k those of n[k] shingles that begin at row[k], row[k] + 1, .. (count[k] of them)."""
+    long = count + n - 1
+    ends, at = np.cumsum(long), 0
+    while at < len(row):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SUM_ROWS, side="right")))
+        size, many = long[at:to], count[at:to]
+        begin = np.cumsum(size) - size
+        rows = np.repeat(row[at:to] - begin, size) + np.arange(int(size.sum()))
+        sums = np.zeros((len(rows) + 1, BITS), np.int64)
+        np.cumsum((np.unpackbits(mix64(runs.hash[rows] + np.uint64(0x51)).view(np.uint8).reshape(-1, 8), axis=1).astype(np.int64) * 2 - 1) * runs.weight[rows][:, None], axis=0, out=sums[1:])
+        run = np.repeat(np.arange(at, to), many)
+        start = begin[run - at] + np.arange(len(run)) - np.repeat(np.cumsum(many) - many, many)
+        yield run, np.packbits(sums[start + n[run]] - sums[start] > 0, axis=1).view(np.uint64)[:, 0]
+        at = to
+
+
 class MultiIndex:
-    """All indexed fingerprints within a radius of a queried one, by radius + 1 disjoint blocks of bits."""
+    """All indexed fingerprints within a radius of a queried one, by disjoint blocks of bits.
+
+    If the whole differs in no more than the radius, some block differs in no more than its share of it, rounded
+    down. So a query looks into the buckets of all values that near to its own, block by block.
+    """
 
     def __init__(self, prints: np.ndarray, radius: int) -> None:
-        self.prints, self.radius = prints, radius
-        edges = np.linspace(0, BITS, radius + 2).astype(int)
-        self.blocks = []
-        for a, b in zip(edges, edges[1:], strict=False):
-            value = self._value(prints, a, b)
+        self.prints, self.radius, self.looked = prints, radius, 0
+        blocks = MANY_BLOCKS if len(prints) >= MANY else FEW_BLOCKS
+        wide, reach = BITS // blocks, radius // blocks
+        every = np.arange(1 << wide)
+        self.masks = every[np.bitwise_count(every) <= reach]
+        self.wide, self.blocks = wide, []
+        for a in range(0, BITS, wide):
+            value = self._value(prints, a)
             order = np.argsort(value, kind="stable")
-            self.blocks.append((a, b, order, np.searchsorted(value[order], np.arange((1 << int(b - a)) + 1))))
+            self.blocks.append((a, order, np.searchsorted(value[order], np.arange((1 << wide) + 1))))
 
-    @staticmethod
-    def _value(prints: np.ndarray, a: int, b: int) -> np.ndarray:
-        return ((prints >> np.uint64(a)) & np.uint64((1 << int(b - a)) - 1)).astype(np.int64)
+    def _value(self, prints: np.ndarray, a: int) -> np.ndarray:
+        return ((prints >> np.uint64(a)) & np.uint64((1 << self.wide) - 1)).astype(np.int64)
 
     def within(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(query, indexed) pairs."""
-        found = []
-        for a, b, order, first in self.blocks:
-            value = self._value(prints, a, b)
-            size = first[value + 1] - first[value]
-            query = np.repeat(np.arange(len(prints)), size)
-            item = order[np.repeat(first[value] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
-            near = np.bitwise_count(prints[query] ^ self.prints[item]) <= self.radius
-            found.append(query[near] * len(self.prints) + item[near])
+        """(query, indexed) pairs; `looked` counts the indexed fingerprints that were compared."""
+        found = [np.zeros(0, np.int64)]
+        step = max(1, (1 << 18) // len(self.masks))
+        for q0 in range(0, len(prints), step):
+            part = prints[q0 : q0 + step]
+            for a, order, first in self.blocks:
+                value = (self._value(part, a)[:, None] ^ self.masks).ravel()
+                size = first[value + 1] - first[value]
+                some = np.flatnonzero(size)
+                value, size = value[some], size[some]
+                query = np.repeat(some // len(self.masks), size)
+                item = order[np.repeat(first[value] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+                self.looked += len(item)
+                near = np.bitwise_count(part[query] ^ self.prints[item]) <= self.radius
+                found.append((query[near] + q0) * len(self.prints) + item[near])
         both = np.unique(np.concatenate(found))
         return both // max(1, len(self.prints)), both % max(1, len(self.prints))
 
 
-def weighted_similarity(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> float:
-    """sum(min) / sum(max) of the weights of two multisets of shingle hashes."""
-    keys, which = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x = np.bincount(which[: len(a)], weights=wa, minlength=len(keys))
-    y = np.bincount(which[len(a) :], weights=wb, minlength=len(keys))
-    most = np.maximum(x, y).sum()
-    return float(np.minimum(x, y).sum() / most) if most else 0.0
+@dataclass
+class Postings:
+    """Of the items with one size of shingles: distinct shingles in order, their weights, which items have each, and a filter."""
+
+    keys: np.ndarray
+    weights: np.ndarray
+    first: np.ndarray
+    items: np.ndarray
+    filter: np.ndarray
 
 
 @dataclass
 class Index:
-    """Items by number: size in words, shingles and weights, and these in all; postings of each shingle; fingerprints."""
+    """Items by number: size in words, distinct shingles in order with counts and weights, and the weight of all; postings; fingerprints."""
 
     ids: list
     sizes: np.ndarray
     shingles: list[np.ndarray]
+    counts: list[np.ndarray]
     weights: list[np.ndarray]
     totals: np.ndarray
-    by_size: dict
+    by_size: dict[int, Postings]
     prints: MultiIndex
 
 
 def build(items: list[tuple]) -> Index | None:
     """The index of (id, text) items; items without words are left out. None if none is left."""
-    words, lengths, counts = words_of(pa.array([t for _, t in items], pa.string()))
-    ids, sizes, shingles, weights = [], [], [], []
-    postings: dict[int, list[tuple]] = {}
+    words, lengths, before = words_of(pa.array([t for _, t in items], pa.string()))
+    ids, sizes, shingles, counts, weights, totals, prints = [], [], [], [], [], [], []
+    parts: dict[int, list[int]] = {}
     for i, (name, _) in enumerate(items):
-        own, n = words[counts[i] : counts[i + 1]], int(counts[i + 1] - counts[i])
+        own, n = words[before[i] : before[i + 1]], int(before[i + 1] - before[i])
         if not n:
             continue
         size = min(SHINGLE_WORDS, n)
-        runs = Runs(own, lengths[counts[i] : counts[i + 1]], np.array([0, n]), size)
-        postings.setdefault(size, []).append((runs.hash, np.full(len(runs.hash), len(ids))))
-        ids.append(name)
-        sizes.append(n)
-        shingles.append(runs.hash)
-        weights.append(runs.weight)
+        runs = Runs(own, lengths[before[i] : before[i + 1]], np.array([0, n]), size)
+        keys, at, count = np.unique(runs.hash, return_index=True, return_counts=True)
+        parts.setdefault(size, []).append(len(ids))
+        for made, x in ((ids, name), (sizes, n), (shingles, keys), (counts, count), (weights, runs.weight[at]), (totals, int(runs.weight.sum())), (prints, simhash(runs.hash, runs.weight, np.zeros(1, np.int64))[0])):
+            made.append(x)
     if not ids:
         return None
     by_size = {}
-    for size, parts in postings.items():
-        h, item = (np.concatenate(x) for x in zip(*parts, strict=True))
+    for size, own in parts.items():
+        h, w, item = np.concatenate([shingles[i] for i in own]), np.concatenate([weights[i] for i in own]), np.repeat(own, [len(shingles[i]) for i in own])
         order = np.argsort(h, kind="stable")
+        keys, first = np.unique(h[order], return_index=True)
         filter_ = np.zeros(1 << _FILTER, dtype=bool)
         filter_[(h & np.uint64((1 << _FILTER) - 1)).astype(np.int64)] = True
-        by_size[size] = (h[order], item[order], filter_)
-    starts = np.concatenate([[0], np.cumsum([len(s) for s in shingles])[:-1]])
-    prints = simhash(np.concatenate(shingles), np.concatenate(weights), starts)
-    return Index(ids, np.array(sizes), shingles, weights, np.array([w.sum() for w in weights]), by_size, MultiIndex(prints, RADIUS))
+        by_size[size] = Postings(keys, w[order][first], np.append(first, len(h)), item[order], filter_)
+    return Index(ids, np.array(sizes), shingles, counts, weights, np.array(totals), by_size, MultiIndex(np.array(prints, np.uint64), RADIUS))
+
 
+def _expand(first: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in key, place in the postings) of all postings of the keys."""
+    n = first[key + 1] - first[key]
+    return np.repeat(np.arange(len(key)), n), np.repeat(first[key] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
-def by_weight(index: Index, runs: Runs, have: np.ndarray, size: int, hit: np.ndarray, item: np.ndarray, similarity: float):
-    """(text, item, start, end) in words of all windows that can have the similarity to an item, from (run, item) pairs that share a shingle.
 
-    What both share weighs no more than the window's places with a shingle of the item, and at least the similarity
-    times the item.
+def _heavy(index: Index, own: Postings, text: np.ndarray, key: np.ndarray, similarity: float) -> set[tuple[int, int]]:
+    """(text, item) pairs whose shared places weigh at least the similarity times the item, from (text, key) of each place.
+
+    Equal places of a text are one row that weighs more, so a text costs no more than the postings.
     """
-    order = np.unique(hit * len(index.ids) + item)
-    hit, item = order // len(index.ids), order % len(index.ids)
-    group, of = np.unique(runs.text[hit] * len(index.ids) + item, return_inverse=True)
+    code, many = np.unique(text * len(own.keys) + key, return_counts=True)
+    text, key = code // len(own.keys), code % len(own.keys)
+    size = np.cumsum(own.first[key + 1] - own.first[key])
     least = similarity * index.totals * (1 - 1e-9)
-    heavy = np.bincount(of, weights=runs.weight[hit], minlength=len(group)) >= least[group % len(index.ids)]
-    hit, of = hit[heavy[of]], of[heavy[of]]
-    order = np.argsort(of, kind="stable")
-    hit, of = hit[order], of[order]
-    for g, places in zip(group[heavy].tolist(), np.split(hit, np.flatnonzero(np.diff(of)) + 1), strict=False):
-        t, i = divmod(g, len(index.ids))
-        long = min(int(index.sizes[i]), int(have[t]))
-        at, sums = runs.place[places], np.concatenate([[0], np.cumsum(runs.weight[places])])
-        # A window's sum changes only where a place enters or leaves, so ranges of starts are as good as all of them.
-        start = np.unique(np.concatenate([[0], at + 1, np.maximum(at - long + size, 0)]))
-        start = start[start <= have[t] - long]
-        sum_ = sums[np.searchsorted(at, start + long - size, side="right")] - sums[np.searchsorted(at, start)]
-        end = np.append(start[1:], have[t] - long + 1)
-        for a, b in zip(start[sum_ >= least[i]].tolist(), end[sum_ >= least[i]].tolist(), strict=True):
-            for s in range(a, b):
-                yield t, i, s, s + long
+    out, at = set(), 0
+    while at < len(key):
+        # Up to PAIRS at a time, but a text's pairs together.
+        to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + PAIRS, side="right")))
+        to = int(np.searchsorted(text, text[to - 1], side="right")) if to < len(key) else len(key)
+        k, posting = _expand(own.first, key[at:to])
+        k += at
+        pair, of = np.unique(text[k] * len(index.ids) + own.items[posting], return_inverse=True)
+        weight = np.bincount(of, weights=(many * own.weights[key])[k], minlength=len(pair))
+        out |= {divmod(int(p), len(index.ids)) for p in pair[weight >= least[pair % len(index.ids)]]}
+        at = to
+    return out
+
+
+def _near(index: Index, own: Postings, runs: Runs, have: np.ndarray, size: int, hit: np.ndarray, key: np.ndarray) -> set[tuple[int, int]]:
+    """(text, item) pairs of which a window of the item's size has a fingerprint near the item's."""
+    out: set[tuple[int, int]] = set()
+    kinds = np.unique(index.sizes[own.items])
+    k, posting = _expand(own.first, np.arange(len(own.keys)))
+    has = np.unique(k * len(kinds) + np.searchsorted(kinds, index.sizes[own.items[posting]]))  # (key, size) pairs
+    order = np.argsort(has % len(kinds), kind="stable")
+    of_kind = np.split((has // len(kinds))[order], np.searchsorted((has % len(kinds))[order], np.arange(1, len(kinds))))
+    present = np.zeros(len(own.keys), bool)
+    present[key] = True
+    for long, keys in zip(kinds.tolist(), of_kind, strict=True):
+        if not present[keys].any():
+            continue
+        wanted = np.zeros(len(own.keys), bool)
+        wanted[keys] = True
+        place = hit[wanted[key]]
+        text, place = runs.text[place], runs.place[place]
+        # Windows that hold the shingle; at the ends of a text they are moved into it. Touching ranges are one.
+        last = np.maximum(have[text] - long, 0)
+        low, high = np.minimum(np.maximum(place - long + size, 0), last), np.minimum(place, last)
+        new = np.flatnonzero(np.append(True, (text[1:] != text[:-1]) | (low[1:] > high[:-1] + 1)))
+        text, low, high = text[new], low[new], high[np.append(new[1:], len(high)) - 1]
+        cuts = (high - low) // STARTS + 1
+        nth = np.arange(int(cuts.sum())) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+        text, low, high = (np.repeat(x, cuts) for x in (text, low, high))
+        low = low + nth * STARTS
+        count = np.minimum(high - low + 1, STARTS)
+        n = np.minimum(long, have[text]) - size + 1
+        for run, prints in window_prints(runs, runs.first[text] + low, count, n):
+            q, item = index.prints.within(prints)
+            same = index.sizes[item] == long
+            out |= set(zip(text[run[q[same]]].tolist(), item[same].tolist(), strict=True))
+    return out
+
+
+def _settle(index: Index, runs: Runs, have: np.ndarray, size: int, t: int, i: int, similarity: float) -> dict | None:
+    """The most similar window (ties: the first) of text t and item i, if it is similar enough."""
+    long = min(int(index.sizes[i]), int(have[t]))
+    n = long - size + 1
+    rows = slice(int(runs.first[t]), int(runs.first[t + 1]))
+    h, w = runs.hash[rows], runs.weight[rows]
+    keys, most, weight = index.shingles[i], index.counts[i], index.weights[i]
+    local = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+    shared = keys[local] == h
+    total, both = np.concatenate([[0], np.cumsum(w)]), np.concatenate([[0], np.cumsum(w * shared)])
+    least = similarity * index.totals[i] * (1 - 1e-9)
+    best = None
+    # What both share weighs no more than the window's places with a shingle of the item.
+    for s in np.flatnonzero(both[n:] - both[:-n] >= least).tolist():
+        inside = local[s : s + n][shared[s : s + n]]
+        common = int((np.minimum(np.bincount(inside, minlength=len(keys)), most) * weight).sum())
+        value = common / (int(total[s + n] - total[s]) + int(index.totals[i]) - common)
+        if value >= similarity and (best is None or value > best[0]):
+            best = (value, s)
+    return best and {"item_id": index.ids[i], "similarity": best[0], "start_word": best[1], "end_word": best[1] + long}
 
 
 def find(index: Index, column: pa.Array, similarity: float) -> list[list[dict]]:
@@ -182,54 +277,19 @@ def find(index: Index, column: pa.Array, similarity: float) -> list[list[dict]]:
     out: list[dict] = [{} for _ in range(len(column))]
     words, lengths, counts = words_of(column)
     have = np.diff(counts)
-    for size, (known, item, filter_) in index.by_size.items():
+    for size, own in index.by_size.items():
         runs = Runs(words, lengths, counts, size)
-        hit = np.flatnonzero(filter_[(runs.hash & np.uint64((1 << _FILTER) - 1)).astype(np.int64)])
+        hit = np.flatnonzero(own.filter[(runs.hash & np.uint64((1 << _FILTER) - 1)).astype(np.int64)])
+        key = np.minimum(np.searchsorted(own.keys, runs.hash[hit]), len(own.keys) - 1)
+        known = own.keys[key] == runs.hash[hit]
+        hit, key = hit[known], key[known]
         if not len(hit):
             continue
-        low, high = np.searchsorted(known, runs.hash[hit]), np.searchsorted(known, runs.hash[hit], side="right")
-        n = high - low
-        hit = np.repeat(hit, n)
-        if not len(hit):
-            continue
-        at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        heavy = by_weight(index, runs, have, size, hit, item[at], similarity)
-        settled: set[tuple] = set()
-
-        def settle(t: int, i: int, s: int, e: int) -> None:
-            if (t, i, s, e) in settled:
-                return
-            settled.add((t, i, s, e))
-            own = slice(int(runs.first[t]) + s, int(runs.first[t]) + e - size + 1)
-            value = weighted_similarity(runs.hash[own], runs.weight[own], index.shingles[i], index.weights[i])
-            best = out[t].get(i)
-            if value >= similarity and (best is None or (value, -s) > (best["similarity"], -best["start_word"])):
-                out[t][i] = {"item_id": index.ids[i], "similarity": value, "start_word": s, "end_word": e}
-
-        # All windows of an item's size that hold the shingle; at the ends of a text they are moved into it.
-        kinds, kind = np.unique(index.sizes[item[at]], return_inverse=True)
-        place_of = np.unique(hit * len(kinds) + kind)
-        hit, kind = place_of // len(kinds), place_of % len(kinds)
-        text, long = runs.text[hit], kinds[kind]
-        last = np.maximum(have[text] - long, 0)
-        low, high = np.minimum(np.maximum(runs.place[hit] - long + size, 0), last), np.minimum(runs.place[hit], last)
-        n = high - low + 1
-        span = int(have.max()) + 1
-        start = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        code = np.unique((np.repeat(text, n) * span + start) * len(kinds) + np.repeat(kind, n))
-        text, start, long = code // len(kinds) // span, code // len(kinds) % span, kinds[code % len(kinds)]
-        windows = np.stack([text, start, np.minimum(long, have[text])], axis=1)
-        for w0 in range(0, len(windows), 512):
-            part = windows[w0 : w0 + 512]
-            n = part[:, 2] - size + 1
-            first = runs.first[part[:, 0]] + part[:, 1]
-            starts = np.cumsum(n) - n
-            rows = np.repeat(first - starts, n) + np.arange(int(n.sum()))
-            prints = simhash(runs.hash[rows], runs.weight[rows], starts)
-            for q, i in zip(*(x.tolist() for x in index.prints.within(prints)), strict=True):
-                settle(int(part[q, 0]), i, int(part[q, 1]), int(part[q, 1] + part[q, 2]))
-        for window in heavy:
-            settle(*window)
+        # Few pairs are heavy that the fingerprints don't find.
+        for t, i in _near(index, own, runs, have, size, hit, key) | _heavy(index, own, runs.text[hit], key, similarity):
+            found = _settle(index, runs, have, size, t, i, similarity)
+            if found:
+                out[t][i] = found
     return [[o[i] for i in sorted(o)] for o in out]
 
 
@@ -248,21 +308,14 @@ def passes(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> l
     return out
 
 
-def _searched(docs: DataFrame, items: list[tuple], kind: str, key: str, text: str, similarity: float, also: dict) -> DataFrame:
-    index = build(items)
-    shared = docs.sparkSession.sparkContext.broadcast(index)  # one group of passes()
-    schema = f"hits array<struct<item_id:{kind},similarity:double,start_word:bigint,end_word:bigint>>"
-
-    arrow = to_arrow_schema(StructType.fromDDL(schema)).field("hits").type
+def _index(docs: DataFrame, items: list[tuple], similarity: float):
+    """What gives, in a worker, a function from texts to their hits."""
+    shared = docs.sparkSession.sparkContext.broadcast(build(items))  # one group of passes()
 
     def make():
-        def apply(column: pa.Array) -> list[pa.Array]:
-            found = find(shared.value, column, similarity) if shared.value else [[] for _ in range(len(column))]
-            return [pa.array(found, arrow)]
-
-        return apply
+        return lambda column: find(shared.value, column, similarity) if shared.value else [[] for _ in range(len(column))]
 
-    return map_texts(docs, key, text, make, schema, also)
+    return make
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", similarity: float = SIMILARITY) -> DataFrame:
@@ -274,19 +327,33 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     key stays null; empty tables give no rows.
     """
     kind = benchmark.schema[item].dataType.simpleString()
-    found = [_searched(docs, items, kind, key, text, similarity, {}).where(F.size("hits") > 0).select(key, F.inline("hits")) for items in passes(benchmark, item)]
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
+    schema = f"hits array<struct<item_id:{kind},similarity:double,start_word:bigint,end_word:bigint>>"
+    arrow = to_arrow_schema(StructType.fromDDL(schema)).field("hits").type
+    out = None
+    for items in passes(benchmark, item):
+        search = _index(docs, items, similarity)
+
+        def make(search=search):
+            look = search()
+            return lambda column: [pa.array(look(column), arrow)]
+
+        found = map_texts(docs, key, text, make, schema).where(F.size("hits") > 0).select(key, F.inline("hits"))
+        out = found if out is None else out.unionByName(found)
     return out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of docs, all columns, in which contaminated() finds no item. Nothing is shuffled or joined."""
-    kind = benchmark.schema[item].dataType.simpleString()
-    columns = docs.columns
+    """The rows of docs, all columns, in which contaminated() finds no item.
+
+    Rows with a null or empty text or a null key stay, as do all rows without items; rows that repeat go or stay
+    together. Nothing is shuffled or joined, and texts go to Python once a pass.
+    """
     for items in passes(benchmark, item):
-        also = {f"c{i}": F.col(f"`{c}`") for i, c in enumerate(columns)}
-        rows = _searched(docs, items, kind, key, text, similarity, also).where(F.size("hits") == 0)
-        docs = rows.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)])
+        search = _index(docs, items, similarity)
+
+        def make(search=search):
+            look = search()
+            return lambda column: pa.array([not hits for hits in look(column)], pa.bool_())
+
+        docs = text_filter(docs, text, make)
     return docs
