@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfmark.llm.batches import map_texts, slices
+from shelfmark.llm.batches import bound_batches, map_texts, slices
 from shelfmark.llm.shingles import mix64, text_shingles
 from shelfmark.operators.graph import connected_components
 from shelfmark.scratch import written
@@ -35,10 +35,10 @@ SKETCH_BITS = 512
 PERCENT = 85
 #: Sketches rule a pair out if their estimate is below the threshold by so much: over four standard errors.
 MARGIN = 0.13
-#: Size of the bitmap that picks the texts to be read again, as a power of two (32 MB).
-FILTER_BITS = 28
-#: Members of a block.
-BLOCK = 2048
+#: Keys of texts to be read again that are broadcast (under 64 MB); more are joined.
+WANTED = 1 << 19
+#: Members of a block, and bytes of their differences from the hub.
+BLOCK, BLOCK_BYTES = 512, 8 << 20
 
 _MULTIPLY = (np.random.default_rng(20).integers(0, 1 << 31, SAMPLES, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 _ADD = np.random.default_rng(21).integers(0, 1 << 32, SAMPLES, dtype=np.uint32)
@@ -222,28 +222,24 @@ def candidates(prints: DataFrame, key: str, percent: int = PERCENT) -> DataFrame
 
 
 def _wanted_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
-    """(print, shingles) of the texts whose keys are wanted, and of some more.
+    """(print, shingles) of the texts whose keys are wanted.
 
-    A bitmap of the wanted keys' hashes, of FILTER_BITS at most, travels to the executors, and texts that it
-    rules out are dropped where they are read: no text is shuffled. What its collisions let through meets no
-    pair later.
+    Up to WANTED keys travel to the executors, and other texts are dropped where they are read; beyond that
+    both sides meet by key.
     """
-    bits = min(FILTER_BITS, max(16, (16 * wanted.count()).bit_length()))
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
-    marks = wanted.select(slot(F.col("key")).alias("s")).groupBy(F.shiftright("s", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("marks")).collect()
-    bitmap = np.zeros((1 << bits) // 64, np.int64)
-    bitmap[[r["word"] for r in marks]] = [r["marks"] for r in marks]
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+    keys = wanted.select(F.col("key").alias("_key"))
+    if wanted.count() <= WANTED:
+        keys = F.broadcast(keys)  # counted
+    rows = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("_own"), F.col(text).cast("string").alias("_text"))
+    rows = rows.join(keys, F.col("_own") == F.col("_key"), "left_semi").select("_text")
 
     def run(batches):
         for batch in batches:
             for piece in slices(batch, "_text"):
-                s = np.asarray(piece.column(0))
-                keep = (shared.value[s >> 6] >> (s & 63)) & 1
-                yield pa.RecordBatch.from_arrays(_sets(piece.column(1).filter(pa.array(keep.astype(bool)))), names=["print", "shingles"])
+                yield pa.RecordBatch.from_arrays(_sets(piece.column(0)), names=["print", "shingles"])
 
-    rows = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull())
-    return rows.select(slot(F.col(key)).alias("_slot"), F.col(text).cast("string").alias("_text")).mapInArrow(run, "print binary, shingles binary")
+    bound_batches(docs.sparkSession)
+    return rows.mapInArrow(run, "print binary, shingles binary")
 
 
 def links(docs: DataFrame, prints: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -256,12 +252,16 @@ def links(docs: DataFrame, prints: DataFrame, key: str = "doc_id", text: str = "
     rows = both.select("a", "hub", "sketch", "mine", "hubs").mapInArrow(_differences, f"a {kind}, hub {kind}, sketch array<bigint>, n_a bigint, n_hub bigint, shared bigint, has binary, besides binary")
     rows = written(rows.withColumn("linked", 100 * F.col("shared") >= percent * (F.col("n_a") + F.col("n_hub") - F.col("shared"))), "differences")
     direct = rows.where("linked").select("a", F.col("hub").alias("b"))
-    groups = rows.groupBy("hub").agg(F.count("*").alias("n"), F.count_if(~F.col("linked")).alias("open")).where("n > 1 and open > 0").select("hub", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    held = F.sum((F.length("has") + F.length("besides")).cast("bigint"))
+    groups = rows.groupBy("hub").agg(F.count("*").alias("n"), held.alias("held"), F.count_if(~F.col("linked")).alias("open")).where("n > 1 and open > 0")
+    groups = groups.select("hub", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("held") / BLOCK_BYTES)).cast("int").alias("blocks"))
     blocked = rows.join(groups, "hub").withColumn("own", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     what = ["hub", "a", "sketch", "n_a", "has", "besides"]
     left = blocked.where("not linked").select(*what, F.lit(0).alias("side"), F.col("own").alias("i"), F.col("other").alias("j"))
     right = blocked.select(*what, F.lit(1).alias("side"), F.col("other").alias("i"), F.col("own").alias("j"))
-    inner = left.unionByName(right).groupBy("hub", "i", "j").applyInArrow(_compare(percent), f"a {kind}, b {kind}")
+    # By one value of all three, as rows that a join has already brought together by hub would stay so, whatever their block.
+    both = left.unionByName(right).withColumn("block", F.struct("hub", "i", "j")).drop("hub", "i", "j")
+    inner = both.groupBy("block").applyInArrow(_compare(percent), f"a {kind}, b {kind}")
     return direct.unionByName(inner)
 
 
