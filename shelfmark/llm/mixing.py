@@ -1,6 +1,6 @@
 """Mixing sources to target weights by hash-threshold histograms.
 
-Every document gets a fixed 60-bit hash of its id. Where a source's target asks for k + f copies of it
+Every document gets a fixed 60-bit hash of its id and text. Where a source's target asks for k + f copies of it
 (k whole, 0 <= f < 1), each document is taken k times, and once more if its hash is under the source's
 threshold. The threshold comes from histograms: sizes summed by source and by the hash's leading digits,
 the bucket that crosses the budget found by a running sum, and only that bucket summed again by the next
@@ -27,9 +27,10 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("bigint")
 
 
-def id_hash(key: Column) -> Column:
-    """60 bits of MD5 of the key's text (null: of the empty text)."""
-    return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit(""))), 1, 15), 16, 10).cast("bigint")
+def row_hash(key: Column, text: Column) -> Column:
+    """60 bits of MD5 of key, ':' and text (nulls: empty), so that rows without key, or that share one, spread as well."""
+    whole = F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit(":"), F.coalesce(text.cast("string"), F.lit("")))
+    return F.conv(F.substring(F.md5(whole), 1, 15), 16, 10).cast("bigint")
 
 
 def _digit(level: int) -> Column:
@@ -95,18 +96,21 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_CO
     """(key, size, source, source_size, target, copies) for each row of docs.
 
     docs has key, text and source; further columns are ignored. A null text has size 0, a null source is a
-    source of its own, and rows with one key share one decision (rows without a key, too). copies is 0 to
-    `most`. The words taken from a source miss its target by no more than the sizes of the documents whose
-    hashes share the last bucket, one document at most unless keys repeat. An empty table gives no rows.
+    source of its own, a null key is a key, and rows that agree in key and text share one decision. copies is 0
+    to `most`. The words taken from a source miss its target by no more than the sizes of the rows whose hashes
+    share the last bucket, one row at most unless rows agree in key and text. An empty table gives no rows.
     """
-    rows = written(docs.select(F.col(key).alias("key"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), id_hash(F.col(key)).alias("hash")), "sizes")
+    rows = written(docs.select(F.col(key).alias("key"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), row_hash(F.col(key), F.col(text)).alias("hash")), "sizes")
     out = _copies(rows, _bounds(rows, weights, most), most)
     return out.select(F.col("key").alias(key), "size", F.col("source").alias(source), "source_size", "target", "copies")
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The rows of docs, all columns, each as often as mix() takes it. Texts are not shuffled: only the bounds are joined."""
-    rows = written(docs.select(F.col(source).alias("source"), word_count(F.col(text)).alias("size"), id_hash(F.col(key)).alias("hash")), "sizes")
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(source).alias("source"), id_hash(F.col(key)).alias("hash"))
+    """The rows of docs, all columns, each as often as mix() takes it (see there for nulls, repeats and empty tables).
+
+    Texts are not shuffled: only the bounds are joined.
+    """
+    rows = written(docs.select(F.col(source).alias("source"), word_count(F.col(text)).alias("size"), row_hash(F.col(key), F.col(text)).alias("hash")), "sizes")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(source).alias("source"), row_hash(F.col(key), F.col(text)).alias("hash"))
     out = _copies(whole, _bounds(rows, weights, most), most).where("copies > 0")
     return out.select("row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).select("row.*")
