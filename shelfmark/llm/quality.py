@@ -141,8 +141,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, usable: Column, key: str
     """Term counts and labels of the LABELLED usable labelled keys with the least hashes.
 
     labels has key and label (null labels and keys don't count; repeated keys count by their mean label). A key
-    without a document gives nothing; one with several takes the counts of all its texts as one row each hash
-    bucket would: the least text's. Only the sampled counts reach the driver.
+    without a document gives nothing; one with several texts takes one of them, always the same. Only the sampled
+    counts reach the driver, as they are: a text has the same terms here as where it is scored.
     """
     chosen = labels.select(F.col(key).alias("k"), F.col(label).cast("double").alias("y"), usable.alias("u")).where("u and k is not null and y is not null")
     chosen = chosen.groupBy("k").agg(F.avg("y").alias("y")).withColumn("h", F.xxhash64("k")).orderBy("h", "k").limit(LABELLED)
@@ -151,13 +151,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, usable: Column, key: str
     def make():
         def apply(column: pa.Array) -> list[pa.Array]:
             counts = term_counts(*text_bytes(column))
-            return [pa.array([c.tobytes() for c in (np.minimum(counts * 16, 65535)).astype(np.uint16)], pa.binary())]
+            return [pa.array([np.flatnonzero(c).astype(np.uint16).tobytes() + c[c != 0].tobytes() for c in counts], pa.binary())]
 
         return apply
 
     made = map_texts(rows, "k", "t", make, "counts binary", {"y": F.col("y")}).groupBy("k", "y").agg(F.min("counts").alias("counts")).collect()
     made.sort(key=lambda r: str(r["k"]))
-    counts = np.stack([np.frombuffer(r["counts"], np.uint16) for r in made]).astype(np.float32) / 16 if made else np.zeros((0, TERMS), np.float32)
+    counts = np.zeros((len(made), TERMS), np.float32)
+    for i, r in enumerate(made):
+        n = len(r["counts"]) // 6  # places of the terms that occur (2 bytes each), then their counts (4 bytes each)
+        counts[i, np.frombuffer(r["counts"], np.uint16, n)] = np.frombuffer(r["counts"], np.float32, n, 2 * n)
     return counts, np.array([r["y"] for r in made])
 
 
