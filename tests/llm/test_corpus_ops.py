@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import duckdb
@@ -95,8 +96,9 @@ def test_rows_that_repeat_a_key_with_other_texts(spark):
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(want, key=str)
 
 
-def test_hub_group_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "BLOCK", 5)
+@pytest.mark.parametrize("name,value", [("BLOCK", 5), ("BLOCK_BYTES", 300), ("WANTED", 0)])
+def test_hub_group_in_blocks(spark, monkeypatch, name, value):
+    monkeypatch.setattr(neardup, name, value)
     r = random.Random(9)
     base = ["b%d" % i for i in range(150)]
     texts = []
@@ -209,13 +211,30 @@ def test_benchmark_in_several_passes(spark, monkeypatch, data):
     assert once and sorted(map(tuple, decontaminate.contaminated(docs, bench).collect())) == once
 
 
-def test_multi_index_finds_all_within_radius():
+@pytest.mark.parametrize("n,share", [(50, 0.5), (15_000, 0.1)])
+def test_multi_index_finds_all_within_radius_and_looks_at_few(n, share):
     r = np.random.default_rng(6)
-    base = r.integers(0, 1 << 63, 50).astype(np.uint64)
-    asked = np.array([int(base[i % 50]) ^ sum(1 << int(b) for b in r.choice(64, i % 30, replace=False)) for i in range(200)], np.uint64)
-    q, k = decontaminate.MultiIndex(base, 20).within(asked)
-    want = {(i, j) for i in range(200) for j in range(50) if int(asked[i] ^ base[j]).bit_count() <= 20}
-    assert set(zip(q.tolist(), k.tolist())) == want
+    base = r.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2) + r.integers(0, 2, n).astype(np.uint64)
+    asked = np.array([int(base[i % n]) ^ sum(1 << int(b) for b in r.choice(64, i % 25, replace=False)) for i in range(200)], np.uint64)
+    index = decontaminate.MultiIndex(base, decontaminate.RADIUS)
+    q, k = index.within(asked)
+    want = {(i, j) for i in range(200) for j in np.flatnonzero(np.bitwise_count(base ^ asked[i]) <= decontaminate.RADIUS).tolist()}
+    assert set(zip(q.tolist(), k.tolist())) == want and len(want) >= 100
+    assert index.looked < share * n * len(asked)
+
+
+def test_long_text_with_an_item_again_and_again():
+    r = random.Random(1)
+    vocabulary = ["v%d" % i for i in range(3000)]
+    item = [r.choice(vocabulary) for _ in range(400)]
+    index = decontaminate.build([(1, " ".join(item)), (2, " ".join(r.choice(vocabulary) for _ in range(60)))])
+    text = " ".join(" ".join(item + [r.choice(vocabulary) for _ in range(200)]) for _ in range(600))
+    assert len(text) > 2_000_000
+    tracemalloc.start()
+    found = decontaminate.find(index, pa.array([text]), 0.8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [(h["item_id"], h["similarity"], h["start_word"]) for h in found[0]] == [(1, 1.0, 0)] and peak < 300e6
 
 
 def test_targets_and_mix(spark):
@@ -248,6 +267,18 @@ def test_targets_and_mix(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mix_without_and_with_repeated_ids(spark):
+    r = random.Random(4)
+    texts = [" ".join("w%d" % r.randrange(50) for _ in range(r.choice([3, 10, 30]))) for _ in range(2000)]
+    for ids in ([None] * 2000, [7] * 2000, [i if i % 2 else None for i in range(2000)]):
+        docs = spark.createDataFrame([(i, t, "ab"[k % 2]) for k, (i, t) in enumerate(zip(ids, texts))], "doc_id long, text string, source string")
+        taken, target = Counter(), {}
+        for x in mixing.mix(docs).collect():
+            taken[x.source] += x.size * x.copies
+            target[x.source] = x.target
+        assert all(abs(taken[s] - target[s]) <= 60 for s in "ab"), (taken, target)
+
+
 VOCABULARY = queries.VOCABULARY
 
 
@@ -301,6 +332,23 @@ def test_packing_loses_nothing(spark, tmp_path):
     assert packing.pack(docs.limit(0), VOCABULARY).count() == 0
 
 
+def test_remembered_pieces_stay_within_bounds():
+    coder = packing.Tokens(packing.read_ranks(VOCABULARY), slots=64, memory=300)
+    r = random.Random(8)
+    for _ in range(60):
+        texts = [" ".join(r.choice("abcdefgh") * r.randint(1, 5) for _ in range(r.randint(0, 90))) for _ in range(3)]
+        ids, before = coder.encode(*shingles.text_bytes(pa.array(texts)))
+        for i, x in enumerate(texts):
+            assert ids[before[i] : before[i + 1]].tolist() == coder.coder.encode_ordinary(x)
+        assert len(coder.ids) == 300 and len(coder.key) == 64
+
+
+def test_rows_are_full(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    rows = packing.pack(docs, VOCABULARY).select("n_tokens").collect()
+    assert sum(r.n_tokens for r in rows) > 0.97 * (len(rows) - 1) * packing.ROW
+
+
 def test_embeddings_against_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(vectors, "BLOCK", 40)
     r = np.random.default_rng(8)
@@ -324,9 +372,40 @@ def test_embeddings_against_all_pairs(spark, monkeypatch):
             assert r.n_links == 0 and r.component_id == r.vec_id and r.kept
         else:
             assert r.n_links <= len(links[r.vec_id])
+    component = {i: i for i in good}
+    for i in sorted(good):
+        todo = [i] if component[i] == i else []
+        while todo:
+            for j in links[todo.pop()]:
+                if component[j] == j and j > i:
+                    component[j] = i
+                    todo.append(j)
+    for block, region in ((40, 30), (8192, 4096)):
+        monkeypatch.setattr(vectors, "BLOCK", block)
+        monkeypatch.setattr(vectors, "REGION", region)
+        # With as many probes as cells nothing is lost.
+        for r in vectors.near_vectors(df, probes=99).collect():
+            if r.vec_id in good:
+                assert (r.n_links, r.component_id, r.kept) == (len(links[r.vec_id]), component[r.vec_id], component[r.vec_id] == r.vec_id), r
     assert vectors.near_vectors(df.limit(0)).count() == 0
 
 
+def test_recall_with_many_cells():
+    r = np.random.default_rng(12)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    base = unit(r.normal(size=(4096, 64)))
+    near = unit(base[:1500] + r.normal(scale=0.046, size=(1500, 64)))
+    close = np.einsum("ij,ij->i", base[:1500], near) >= vectors.THRESHOLD
+    model = vectors.fit(base, 1024)
+    reach = float(np.sqrt(2 - 2 * vectors.THRESHOLD))
+    a, b = model.encode(base[:1500], vectors.PROBES, reach)[0], model.encode(near, vectors.PROBES, reach)[0]
+    met = np.array([x[0] in y or y[0] in x for x, y in zip(a, b)])
+    assert close.sum() > 300 and met[close].mean() > 0.97
+    whole = [set(c) for c in model.encode(base[:300], 1024, reach)[0]]
+    homes = [c[0] for c in model.encode(near[:300], 1, reach)[0]]
+    assert all(h in w for h, w, c in zip(homes, whole, close) if c)  # pruning by planes loses nothing
+
+
 @pytest.mark.parametrize("name", ["op5_mixing", "op7_chat_format"])
 def test_sql(spark, data, name):
     from compare import check, connection
@@ -353,4 +432,13 @@ def test_pipeline_stages(spark, data):
     five = corpus_pipeline.to_tokens(spark, four, data).collect()
     coder = packing.Tokens(packing.read_ranks(VOCABULARY)).coder
     assert sum(r.n_tokens for r in five) == sum(len(coder.encode_ordinary(r.text)) for r in four.collect())
+    # An empty table, and columns with the names that stages use themselves.
+    for rows in (docs.limit(0), docs.where("doc_id < 20")):
+        odd = rows.withColumn("c0", F.lit("x")).withColumn("_text", F.lit(1)).withColumn("hash", F.lit(2.5)).withColumn("row", F.lit(None).cast("int"))
+        names = odd.columns
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            odd = stage(spark, odd, data)
+            assert odd.columns == names, name
+        assert (odd.count() == 0) == (rows.count() == 0) and {r.c0 for r in odd.collect()} <= {"x"}
+        assert (corpus_pipeline.to_tokens(spark, odd, data).count() == 0) == (rows.count() == 0)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near-duplicates", "decontamination", "mixing", "tokens"]

@@ -6,6 +6,8 @@ import hashlib
 import json
 import random
 import re
+import tracemalloc
+import uuid
 import zlib
 
 import pytest
@@ -116,7 +118,7 @@ def test_secrets_of_any_length():
 
 
 def test_pii_query_and_model(spark, tmp_path):
-    texts = [None, "", "é a.b@mail.example.com, 192.168.0.1; +1 (743) 555-3824.", "call (743) 555-3824 now", "ssn 123-45-6789", "on 2024-01-02 at 12:30, v1.2.3", "9" * 100_000, "a" * 200_000]
+    texts = [None, "", "é a.b@mail.example.com, 192.168.0.1; +1 (743) 555-3824.", "call (743) 555-3824 now", "ssn 123-45-6789", "on 2024-01-02 at 12:30, v1.2.3", "9" * 100_000, "a" * 20_000, "a b " * 50_000]
     frame(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
     rows = {r.doc_id: r for r in queries.op9_pii(spark, str(tmp_path)).collect()}
     for i, t in enumerate(texts):
@@ -126,6 +128,44 @@ def test_pii_query_and_model(spark, tmp_path):
     assert rows[4].spans == "national_id:4:15" and rows[5].spans == ""
 
 
+def test_spellings_without_a_base_pattern():
+    w, r = pii.standard_model(), random.Random(21)
+    d = lambda k: "".join(r.choice("0123456789") for _ in range(k))
+    kinds = {
+        "phone": [lambda: f"my number is {d(3)}-{d(3)}-{d(4)}.", lambda: f"ring 020 7946 0{d(3)} now", lambda: f"appelez le 0{r.randint(1, 7)} {d(2)} {d(2)} {d(2)} {d(2)} demain", lambda: f"so 030 {d(7)} oder"],
+        "ip": [lambda: "host " + ":".join("%x" % r.randrange(1 << 16) for _ in range(8)) + " is up"],
+        "bank_account": [lambda: "pay to DE89 3704 0044 0532 0130 00 soon", lambda: "GB82WEST12345698765432"],
+    }
+    for kind, rules in kinds.items():
+        for rule in rules:
+            texts = [rule() for _ in range(50)]
+            assert sum(any(s["kind"] == kind for s in pii.find(t, w)) for t in texts) >= 48, texts[0]
+    none = [lambda: f"on 20{d(2)}-0{r.randint(1, 9)}-{r.randint(10, 28)} at 1{d(1)}:{r.randint(10, 59)}:{r.randint(10, 59)}", lambda: f"pages {d(3)}-{d(3)}, 1999-2004", lambda: " ".join(d(2) for _ in range(9)), lambda: f"| {d(3)} | {d(4)} | {d(3)}.{d(2)} | {d(5)} |", lambda: "%040x" % r.getrandbits(160), lambda: f"{d(2)}.{d(6)}, -{d(2)}.{d(6)}"]
+    texts = [rule() for rule in none for _ in range(50)]
+    assert sum(any(not s["base"] for s in pii.find(t, w)) for t in texts) <= 6
+
+
+def test_long_runs_in_parts(monkeypatch):
+    w = pii.standard_model()
+    text = " ".join(t for t, _ in pii.training_lines(200, seed=3))
+    whole = pii.find(text, w)
+    monkeypatch.setattr(pii, "PART", 7)
+    assert len(whole) > 100 and pii.find(text, w) == whole
+    monkeypatch.undo()
+    tracemalloc.start()
+    pii.find("7 " * 20_000, w)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6
+
+
+def test_identifiers_are_no_secrets():
+    model, r = secrets.standard_model(), random.Random(6)
+    ids = [str(uuid.UUID(int=r.getrandbits(128), version=4)) for _ in range(200)]
+    texts = [f(i) for i in ids for f in (str, str.upper, "/srv/data/{}/file.txt".format, "id={}".format, "https://example.org/item/{}".format)]
+    assert sum(bool(secrets.find(t, model)[0]) for t in texts if not secrets.base_spans(t)) <= 0.01 * len(texts)
+
+
 def test_crf_on_new_lines():
     w = pii.standard_model()
     hit = wrong = missed = 0
@@ -168,6 +208,10 @@ def test_chat_round_trip_and_parts(spark):
     one = chat.format_chat(parts, "parts").first()
     assert one.formatted == "<|im_start|>user\nsee <\\|<|image:2|><|audio:1|>?<|im_end|>\n"
     assert [(a.type, a.ref, a.units, a.tokens, a.at) for a in one.attachments] == [("image", "a.png", 2, 512, 1), ("audio", "b.wav", 1, 25, 2)] and one.n_tokens_expanded == 537
+    more = spark.createDataFrame([(1, 0, "user", [("document", None, "c.pdf", 3), ("text", "x" * 200_000, None, None), ("document", "unused", None, None)]), (2, None, None, None)], "conv_id long, turn long, role string, parts array<struct<type:string,text:string,ref:string,units:long>>").withColumn("text", F.lit("unused"))
+    pages = {x.conv_id: x for x in chat.format_chat(more, "parts").collect()}
+    assert pages[1].formatted == "<|im_start|>user\n<|document:3|>" + "x" * 200_000 + "<|document:1|><|im_end|>\n" and pages[2].formatted == "<|im_start|>\n<|im_end|>\n"
+    assert [(a.ref, a.tokens, a.at) for a in pages[1].attachments] == [("c.pdf", 1536, 0), (None, 512, 2)] and pages[1].n_tokens_expanded == 2048 and not pages[2].attachments
     offsets = [(x.seq, x.offset, len(x.segment)) for x in chat.format_turns(turns).where("conv_id = 5").orderBy("seq").collect()]
     assert all(a[1] + a[2] == b[1] for a, b in zip(offsets, offsets[1:]))
 
@@ -214,6 +258,19 @@ def test_quality_odd_texts(spark):
     assert len(rows) == 6 and all(0 <= r.score <= 1 for r in rows)
     assert {r.score for r in quality.classify(docs, None).collect()} == {0.5}
     assert quality.labelled_sample(docs.limit(0), labels, F.lit(True))[0].shape[0] == 0
+    assert quality.classify(docs.limit(0), quality.fit(counts, y)).count() == 0
+
+
+def test_long_labelled_texts_count_in_full(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    texts = ["plain text and more of it " * 4000, "SHORT ONE", "é😀 " * 9000, ""]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4)], "doc_id long, quality int")
+    counts, _ = quality.labelled_sample(docs, labels, F.lit(True))
+    assert (counts == quality.term_counts(*quality.text_bytes(pa.array(texts)))).all() and counts.max() > 10_000
+    assert quality.classify(docs, quality.fit(counts, np.array([0.0, 1, 0, 1]))).count() == 4
 
 
 def test_votes_are_exact():
