@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.scratch import written
+from shelfmark.scratch import drop, new_path, saved, written
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -17,11 +17,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Self-edges and edges with a null end say nothing and are left out, repeated edges count once, and an
     empty table gives an empty result. Each round keeps at most as many edges as it was given, is
-    written to the shared scratch folder, and moves every edge nearer a star around its least node; a
+    written to the shared scratch folder in place of the one before, and moves every edge nearer a star around its least node; a
     path of n nodes takes on the order of log n rounds. Minima are taken by pre-aggregated groupings and
     joined back, so no node's neighbours meet in one task.
     """
     edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"), F.col("a").isNull().alias("x"), F.col("b").isNull().alias("y"))
+    spark, last = edges.sparkSession, None
     edges = written(edges.where("u <> v and not x and not y").select("u", "v").distinct(), "edges")
     mark = _mark(edges)
     for _ in range(max_rounds):
@@ -32,7 +33,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        path = new_path(spark, "edges")
+        edges = saved(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), path)
+        if last:
+            drop(spark, last)
+        last = path
         before, mark = mark, _mark(edges)
         if before == mark:
             break

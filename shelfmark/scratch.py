@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_PASSING: ContextVar[list[str] | None] = ContextVar("passing", default=None)
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -29,19 +33,50 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/shelfmark-{app}"
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path under scratch_dir() that no one uses; the passing() around, if there is one, deletes what is there in the end."""
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    noted = _PASSING.get()
+    if noted is not None:
+        noted.append(path)
+    return path
+
+
+def saved(df: DataFrame, path: str) -> DataFrame:
+    """df written as parquet to path and read again."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df written as parquet under scratch_dir() and read again.
 
     Later stages restart from the files when executors are lost, and several readers share one
-    computation. The files stay until drop_scratch() or until the cluster empties the folder.
+    computation. The files stay until the passing() around ends, if there is one, until drop_scratch(), or until
+    the cluster empties the folder.
     """
-    path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return saved(df, new_path(df.sparkSession, name))
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """What written() writes inside goes when the block ends, so what is to outlast it has to be saved() to a path made before."""
+    token = _PASSING.set([])
+    try:
+        yield
+    finally:
+        paths = _PASSING.get()
+        _PASSING.reset(token)
+        for path in paths:
+            drop(spark, path)
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder, if it is there."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def drop_scratch(spark: SparkSession) -> None:
     """Delete what written() has left for this application."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    drop(spark, scratch_dir(spark))
