@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import rules, scores
 from shelfmark.functions import text as tx
-from shelfmark.operators import dedup, explain, features, hamming, knn, linear, thresholds, transfer
+from shelfmark.operators import dedup, explain, features, hamming, images, knn, linear, thresholds, transfer
 from shelfmark.plans import pipeline
 from shelfmark.session import table
 
@@ -309,6 +309,80 @@ def exact_loo_report(spark, sf_dir):
     return hamming.report(loo, ["category"]).select("category", "n", "calls", "correct")
 
 
+PICTURE_BITS = 15
+
+
+def _pictures(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """(cards, images): two vectors a product as images of four words, signs in the first, and content hashes that some share."""
+    rows = table(spark, sf_dir, "embeddings").withColumn("word", hamming.sign_word(F.col("embedding"), PICTURE_BITS))
+    product = F.floor(F.col("vec_id") / 2).cast("bigint")
+    pics = rows.select(product.alias("id"), "vec_id", F.sha2(F.shiftright("word", 6).cast("string"), 256).alias("sha"), F.array(F.col("word"), -F.col("label").cast("bigint"), F.lit(-(2**63)), F.col("vec_id") % 2).alias("words"))
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("label"))
+    cards = rows.select(product.alias("id")).distinct().select("id", F.element_at(F.array(F.lit("en"), F.lit("fr"), F.lit("de")), (F.col("id") % 3 + 1).cast("int")).alias("category"), F.concat(F.lit("n"), (F.col("id") % 2).cast("string")).alias("name_n"))
+    return cards.join(labels, "id", "left"), pics
+
+
+_PICS = f"""WITH w AS (SELECT vec_id, label, list_sum([CASE WHEN embedding[i] > 0 THEN (1::BIGINT << (i - 1)) ELSE 0 END FOR i IN range(1, {PICTURE_BITS + 1})])::BIGINT AS word FROM embeddings),
+pics AS (SELECT vec_id // 2 AS id, vec_id, sha256((word >> 6)::VARCHAR) AS sha, word AS a, -label::BIGINT AS b, vec_id % 2 AS c FROM w),
+cards AS (SELECT p.id, ['en', 'fr', 'de'][p.id % 3 + 1] AS category, 'n' || (p.id % 2) AS name_n, l.quality AS label FROM (SELECT DISTINCT id FROM pics) p LEFT JOIN labels l ON l.doc_id = p.id),
+shas AS (SELECT DISTINCT id, sha FROM pics), hashes AS (SELECT DISTINCT id, a, b, c FROM pics),
+pairs AS (SELECT q.id AS query_id, q.a, q.b, q.c, t.id, tc.label, tc.name_n = qc.name_n AS same_name, (bit_count(xor(q.a, t.a)) + bit_count(xor(q.b, t.b)) + bit_count(xor(q.c, t.c)))::INT AS dist, t.a AS ta, t.b AS tb, t.c AS tc
+  FROM hashes q JOIN cards qc ON qc.id = q.id JOIN hashes t ON true JOIN cards tc ON tc.id = t.id AND tc.category = qc.category AND tc.label IS NOT NULL WHERE dist <= 4)
+"""
+_PICS_TOP = _PICS + """, top AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY query_id, a, b, c ORDER BY dist, id, ta, CASE WHEN tb < 0 THEN 1 ELSE 0 END, tb, tc) <= KEEP)
+"""
+
+
+def _pics_decide(leave_out: bool) -> str:
+    other = " WHERE query_id <> id" if leave_out else ""
+    return _PICS_TOP.replace("KEEP", "128") + f""", rec AS (SELECT query_id, id, any_value(label) AS label, min(dist) AS dist, any_value(same_name) AS same_name FROM top{other} GROUP BY ALL),
+near AS (SELECT query_id, min(label) AS low, max(label) AS high FROM rec WHERE same_name GROUP BY 1),
+ex AS (SELECT DISTINCT q.id AS query_id, t.id, tc.label, tc.name_n = qc.name_n AS same_name FROM shas q JOIN cards qc ON qc.id = q.id JOIN shas t ON t.sha = q.sha JOIN cards tc ON tc.id = t.id AND tc.category = qc.category AND tc.label IS NOT NULL),
+e AS (SELECT query_id, count(*) AS n, min(label) AS low, max(label) AS high, bool_or(same_name) AS same FROM ex{other} GROUP BY 1),
+x AS (SELECT c.id, c.category, c.label, coalesce(e.n, 0) AS n, coalesce(e.same, false) AS same, CASE WHEN e.low = e.high THEN e.low END AS exact, CASE WHEN near.low = near.high THEN near.low END AS near FROM cards c LEFT JOIN e ON e.query_id = c.id LEFT JOIN near ON near.query_id = c.id),
+r AS (SELECT *, CASE WHEN n > 0 AND exact IS NULL THEN 'exact_sha256_conflict' WHEN exact <> near THEN 'image_conflict' WHEN exact IS NOT NULL AND category = 'en' AND n >= 2 AND same THEN 'exact_sha256_multi_name' WHEN exact IS NOT NULL THEN 'exact_sha256_observe'
+WHEN category IN ('en', 'fr') AND near = 1 THEN 'dhash_name_positive' WHEN category = 'fr' AND near IS NOT NULL THEN 'dhash_name_negative' ELSE 'image_abstain' END AS reason FROM x),
+f AS (SELECT id, category, label, CASE WHEN reason = 'exact_sha256_multi_name' THEN exact WHEN reason LIKE 'dhash%' THEN near END::INT AS decision, reason FROM r)
+"""
+
+
+@query(_PICS_TOP.replace("KEEP", "8") + "SELECT query_id, id, dist, same_name FROM (SELECT query_id, id, min(dist) AS dist, any_value(same_name) AS same_name FROM top GROUP BY ALL) WHERE query_id % 20 = 0")
+def image_neighbours(spark, sf_dir):
+    cards, pics = _pictures(spark, sf_dir)
+    asked = cards.where("id % 20 = 0")
+    found = images.perceptual_records(asked, pics.join(asked.select("id"), "id"), images.retrieval_index(cards, pics), k=8)
+    return found.select("query_id", "id", "dist", "same_name")
+
+
+@query(_pics_decide(False) + "SELECT id, decision AS image_decision, reason AS image_reason, CASE decision WHEN 1 THEN 1.0::DOUBLE - 1e-5::DOUBLE WHEN 0 THEN 1e-5::DOUBLE END AS image_prob FROM f")
+def image_decision(spark, sf_dir):
+    cards, pics = _pictures(spark, sf_dir)
+    return images.image_decisions(cards, pics, images.retrieval_index(cards, pics), "en", "fr")
+
+
+@query(_pics_decide(True) + "SELECT category, reason, count(*)::BIGINT AS n, count(decision)::BIGINT AS calls, count(*) FILTER (decision = label)::BIGINT AS correct FROM f WHERE label IS NOT NULL GROUP BY ALL")
+def image_loo_report(spark, sf_dir):
+    cards, pics = _pictures(spark, sf_dir)
+    decided = images.image_decisions(cards, pics, images.retrieval_index(cards, pics), "en", "fr", leave_out=True)
+    rows = decided.select("id", F.col("image_decision").alias("decision"), F.col("image_reason").alias("reason")).join(cards.where("label is not null"), "id")
+    return hamming.report(rows, ["category", "reason"]).select("category", "reason", "n", "calls", "correct")
+
+
+@query(_PICS + """, main AS (SELECT * FROM pics WHERE vec_id % 2 = 0), v AS (SELECT q.id, count(*) AS n, sum(tc.label) AS pos FROM main q JOIN cards qc ON qc.id = q.id JOIN main t ON bit_count(xor(q.a, t.a)) + bit_count(xor(q.b, t.b)) <= 6 JOIN cards tc ON tc.id = t.id AND tc.category = qc.category AND tc.label IS NOT NULL GROUP BY 1)
+SELECT id, CASE WHEN greatest(pos::DOUBLE / n, 1.0::DOUBLE - pos::DOUBLE / n) >= 0.8::DOUBLE THEN CASE WHEN pos::DOUBLE / n > 0.5 THEN 1 ELSE 0 END END AS dhash_label FROM v""")
+def memory_images(spark, sf_dir):
+    cards, pics = _pictures(spark, sf_dir)
+    main = pics.where("vec_id % 2 = 0").select("id", "words").join(cards, "id")
+    return images.memory_votes(main, main)
+
+
+@query(_PICS.replace("WITH w", "WITH RECURSIVE w") + """, g AS (SELECT id, sha, a, b, c FROM pics), e AS (SELECT x.id AS x, y.id AS y FROM g x JOIN g y ON x.id <> y.id AND (x.sha = y.sha AND x.id % 8 = 0 AND y.id % 8 = 0 OR bit_count(xor(x.a, y.a)) + bit_count(xor(x.b, y.b)) + bit_count(xor(x.c, y.c)) <= 2)),
+walk AS (SELECT x AS id, x AS reach FROM e UNION SELECT walk.id, e.y FROM walk JOIN e ON e.x = walk.reach) SELECT id, min(reach) AS family FROM walk GROUP BY 1""")
+def image_families(spark, sf_dir):
+    pics = _pictures(spark, sf_dir)[1]
+    return dedup.families(dedup.key_edges(pics.where("id % 8 = 0"), F.col("sha")).unionByName(images.hash_edges(pics, 2)))
+
+
 GATE = 0.3
 
 
