@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -44,6 +46,89 @@ QUOTE_CONFLICTS = {"топливо не входит": ["входит в ком
 QUOTE_WORDS = 3
 
 
+WORD = "0-9a-zа-яıᲀ-ᲆ"
+
+
+@lru_cache(maxsize=1024)
+def plain_pattern(pattern: str, whole: bool = True) -> str:
+    """The pattern for normalised texts (characters of WORD and single blanks), without Unicode classes, which are slow.
+
+    \\w and \\s become classes, \\b a look to the side where no character of a word may be. Without `whole` only
+    finding counts, not what is found, and \\w* that ends the pattern or one of its last alternatives goes.
+    """
+    out, stack = [], []
+    opened = {}
+    for i, c in enumerate(pattern):
+        if c == "(" and pattern[i - 1 : i] != "\\":
+            stack.append(i)
+        elif c == ")" and pattern[i - 1 : i] != "\\":
+            opened[i] = stack.pop()
+    inner = sorted((a, b) for b, a in opened.items())
+
+    def last(at: int) -> bool:
+        """Whether nothing that must match follows: the end, or the end of an alternative of a group that is last itself."""
+        if at == len(pattern):
+            return True
+        if pattern[at] not in "|)":
+            return False
+        around = [b for a, b in inner if a < at <= b]
+        return last(min(around) + 1) if around else True
+
+    i = 0
+    while i < len(pattern):
+        two = pattern[i : i + 2]
+        if two == r"\w" and not whole and pattern[i + 2 : i + 3] == "*" and last(i + 3):
+            i += 3
+            continue
+        if two == r"\w":
+            out.append(f"[{WORD}]")
+        elif two == r"\s":
+            out.append(" ")
+        elif two == r"\b":
+            before = pattern[i - 1 : i]
+            ends = bool(before) and (before.isalnum() or before in "*)]}") and pattern[i - 2 : i] not in (r"\s", r"\b")
+            out.append(f"(?![{WORD}])" if ends else f"(?<![{WORD}])")
+        else:
+            out.append(pattern[i])
+            i += 1
+            continue
+        i += 2
+    return "".join(out)
+
+
+def _alternatives(pattern: str) -> list[str]:
+    """What stands between the outermost bars, a group around the whole pattern taken off first."""
+    depth, cuts, closed = 0, [], False
+    for i, c in enumerate(pattern):
+        escaped = pattern[i - 1 : i] == "\\"
+        if c == "(" and not escaped:
+            depth += 1
+        elif c == ")" and not escaped:
+            depth -= 1
+            closed = closed or depth == 0 and i < len(pattern) - 1
+        elif c == "|" and depth == 0:
+            cuts.append(i)
+    if not cuts and not closed and pattern.startswith("(") and pattern.endswith(")"):
+        return _alternatives(pattern[3:-1] if pattern.startswith("(?:") else pattern[1:-1])
+    return [pattern[a:b] for a, b in zip([0, *(c + 1 for c in cuts)], [*cuts, len(pattern)], strict=True)]
+
+
+@lru_cache(maxsize=1024)
+def needed_literals(pattern: str) -> tuple[str, ...]:
+    """Strings of which every text that the pattern is found in holds one; empty if there are none to name."""
+    out = []
+    for part in _alternatives(pattern):
+        bare = re.sub(r"\\b", "", part)
+        while re.search(r"\([^()]*\)[?*+]?", bare):  # groups may hold anything
+            bare = re.sub(r"\([^()]*\)[?*+]?", "\0", bare)
+        bare = re.sub(r"\[[^\]]*\][?*+]?|\\.[?*+]?|.[?*]|\.", "\0", bare)
+        longest = max(re.findall(r"[^\W_]+", bare), key=len, default="")
+        if len(longest) < 2:
+            return ()
+        out.append(longest)
+    return tuple(dict.fromkeys(out))
+
+
 @dataclass
 class Bank:
     """Patterns by rule name, and what quotes are taken from by category."""
@@ -55,8 +140,11 @@ class Bank:
     flammable: str = FLAMMABLE
 
     def hit(self, rule: str, text: Column) -> Column:
-        """Whether the rule's pattern is in a normalised text; \\w and \\b know all scripts."""
-        return text.rlike("(?U)" + self.patterns[rule])
+        """Whether the rule's pattern is in a normalised text; \\w and \\b know all its letters."""
+        found = text.rlike(plain_pattern(self.patterns[rule], whole=False))
+        needed = needed_literals(self.patterns[rule])
+        # Looking for a literal is many times faster than the pattern, which most texts don't hold.
+        return reduce(lambda a, b: a | b, [F.contains(text, F.lit(x)) for x in needed]) & found if needed else found
 
 
 def joined(name_n: Column, description_n: Column) -> Column:
@@ -128,7 +216,7 @@ def evidence_quotes(bank: Bank, category: Column, text: Column, limit: int = 2)
     def of(sources: list[tuple[str, str]]) -> Column:
         found = []
         for label, rule in sources:
-            pattern = F.lit("(?U)" + bank.patterns[rule])
+            pattern = F.lit(plain_pattern(bank.patterns[rule]))
             start, hit = F.regexp_instr(text, pattern), F.regexp_substr(text, pattern)
             lo = F.greatest(F.lit(0), count(F.substring(text, F.lit(1), start - 1)) - QUOTE_WORDS)
             hi = F.least(F.size(words), count(F.substring(text, F.lit(1), start - 1 + F.length(hit))) + QUOTE_WORDS)

@@ -20,6 +20,18 @@ NO_PRIOR = 0.5
 MEMORY_PURITY = 0.8
 
 
+def with_keys(cards: DataFrame) -> DataFrame:
+    """Adds desc_key, name_key and brand_key, so that tables written once serve every lookup without normalising again."""
+    return cards.withColumn("desc_key", tx.template_key(F.col("desc_n"))).withColumn("name_key", tx.name_key(F.col("name_n"))).withColumn("brand_key", tx.brand_key(F.col("name_n")))
+
+
+def _key(cards: DataFrame, name: str) -> Column:
+    """A key column of with_keys(), made on the spot where it is missing."""
+    if name in cards.columns:
+        return F.col(name)
+    return {"desc_key": lambda: tx.template_key(F.col("desc_n")), "name_key": lambda: tx.name_key(F.col("name_n")), "brand_key": lambda: tx.brand_key(F.col("name_n")), "desc_digest": lambda: tx.digest(F.col("desc_n"))}[name]()
+
+
 def key_stats(labelled: DataFrame, key: Column, kind: str, min_group: int = MIN_GROUP) -> DataFrame:
     """(category, kind, key, n, pos) of keys with enough labelled cards."""
     rows = labelled.where(F.col("label").isNotNull()).select("category", key.alias("key"), "label").where("key is not null")
@@ -29,7 +41,7 @@ def key_stats(labelled: DataFrame, key: Column, kind: str, min_group: int = MIN_
 
 def template_stats(labelled: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     """Statistics of description prefixes (kind desc) and name prefixes (kind name)."""
-    return key_stats(labelled, tx.template_key(F.col("desc_n")), "desc", min_group).unionByName(key_stats(labelled, tx.name_key(F.col("name_n")), "name", min_group))
+    return key_stats(labelled, _key(labelled, "desc_key"), "desc", min_group).unionByName(key_stats(labelled, _key(labelled, "name_key"), "name", min_group))
 
 
 def pure_counts(stats: DataFrame, purity: float = MIN_PURITY) -> DataFrame:
@@ -51,9 +63,9 @@ def _looked_up(cards: DataFrame, stats: DataFrame, kind: str, key: Column, min_g
 
 def template_transfer(cards: DataFrame, stats: DataFrame, min_group: int = MIN_GROUP, names: bool = True) -> DataFrame:
     """Adds decision (1, 0 or null), transfer_reason and transfer_prob; a description key goes before a name key."""
-    out = _looked_up(cards, stats, "desc", tx.template_key(F.col("desc_n")), min_group)
+    out = _looked_up(cards, stats, "desc", _key(cards, "desc_key"), min_group)
     if names:
-        out = _looked_up(out, stats, "name", tx.name_key(F.col("name_n")), min_group)
+        out = _looked_up(out, stats, "name", _key(cards, "name_key"), min_group)
     else:
         out = out.withColumn("_name", F.lit(None).cast("int")).withColumn("_name_n", F.lit(None).cast("bigint"))
     word = lambda c: F.when(c == 1, "pos").otherwise("neg")
@@ -66,7 +78,7 @@ def brand_stats(labelled: DataFrame, min_count: int = BRAND_COUNT) -> tuple[Data
     """((category, brand, n, pos), (category, prior))."""
     rows = labelled.where(F.col("label").isNotNull())
     priors = rows.groupBy("category").agg(F.avg(F.col("label").cast("double")).alias("prior"))
-    brands = rows.select("category", tx.brand_key(F.col("name_n")).alias("brand"), "label").where("brand is not null")
+    brands = rows.select("category", _key(labelled, "brand_key").alias("brand"), "label").where("brand is not null")
     brands = brands.groupBy("category", "brand").agg(F.count("*").alias("n"), F.sum(F.col("label").cast("bigint")).alias("pos")).where(F.col("n") >= min_count)
     return brands, priors
 
@@ -75,7 +87,7 @@ def with_brand_prob(cards: DataFrame, brands: DataFrame, priors: DataFrame) -> D
     """Adds brand_prob: the brand's smoothed share, else the category's prior, else NO_PRIOR."""
     b = brands.where(F.col("n") >= BRAND_COUNT).select(F.col("category").alias("_c"), F.col("brand").alias("_b"), F.col("n").alias("_n"), F.col("pos").alias("_p"))
     q = priors.select(F.col("category").alias("_qc"), F.col("prior").alias("_prior"))
-    out = cards.withColumn("_key", tx.brand_key(F.col("name_n"))).join(q, F.col("category") == F.col("_qc"), "left").join(b, (F.col("category") == F.col("_c")) & (F.col("_key") == F.col("_b")), "left")
+    out = cards.withColumn("_key", _key(cards, "brand_key")).join(q, F.col("category") == F.col("_qc"), "left").join(b, (F.col("category") == F.col("_c")) & (F.col("_key") == F.col("_b")), "left")
     prob = F.coalesce((F.col("_p") + F.lit(BRAND_SMOOTH) * F.col("_prior")) / (F.col("_n") + F.lit(BRAND_SMOOTH)), F.col("_prior"), F.lit(NO_PRIOR))
     return out.withColumn("brand_prob", prob).drop("_key", "_c", "_b", "_n", "_p", "_qc", "_prior")
 
@@ -86,35 +98,35 @@ def unanimous_keys(labelled: DataFrame, key: Column) -> DataFrame:
     return rows.groupBy("category", "key").agg(F.min("label").alias("label"), F.max("label").alias("_top"), F.count("*").alias("n")).where(F.col("label") == F.col("_top")).drop("_top")
 
 
-def memory_lookup(cards: DataFrame, text_keys: DataFrame, hash_keys: DataFrame | None = None) -> DataFrame:
-    """Adds memory_label and memory_source: the text key first, then the content hash (column sha)."""
-    t = text_keys.select(F.col("category").alias("_c"), F.col("key").alias("_k"), F.col("label").alias("_text"))
-    out = cards.join(t, (F.col("category") == F.col("_c")) & (F.col("text_key") == F.col("_k")), "left").drop("_c", "_k")
-    if hash_keys is not None:
-        h = hash_keys.select(F.col("category").alias("_c"), F.col("key").alias("_k"), F.col("label").alias("_sha"))
-        out = out.join(h, (F.col("category") == F.col("_c")) & (F.col("sha") == F.col("_k")), "left").drop("_c", "_k")
-    else:
-        out = out.withColumn("_sha", F.lit(None).cast("int"))
-    source = F.when(F.col("_text").isNotNull(), "text").when(F.col("_sha").isNotNull(), "sha")
-    return out.withColumn("memory_label", F.coalesce("_text", "_sha")).withColumn("memory_source", source).drop("_text", "_sha")
+def memory_lookup(cards: DataFrame, text_keys: DataFrame, hash_keys: DataFrame | None = None, votes: DataFrame | None = None) -> DataFrame:
+    """Adds memory_label and memory_source: the text key (column text_key) first, then the content hash (column sha), then
+    the vote of near images (images.memory_votes())."""
 
+    def looked_up(rows: DataFrame, keys: DataFrame | None, column: str, name: str) -> DataFrame:
+        if keys is None:
+            return rows.withColumn(name, F.lit(None).cast("int"))
+        t = keys.select(F.col("category").alias("_c"), F.col("key").alias("_k"), F.col("label").alias(name))
+        return rows.join(t, (F.col("category") == F.col("_c")) & (F.col(column) == F.col("_k")), "left").drop("_c", "_k")
 
-def purity_label(votes: DataFrame, by: list[str], purity: float = MEMORY_PURITY) -> DataFrame:
-    """One label from several neighbours' labels where enough of them agree, else null."""
-    share = F.avg(F.col("label").cast("double"))
-    return votes.groupBy(*by).agg(F.count("*").alias("n"), share.alias("share")).withColumn("label", F.when((F.col("share") >= purity) | (F.col("share") <= 1.0 - purity), F.round("share").cast("int")))
+    out = looked_up(looked_up(cards, text_keys, "text_key", "_text"), hash_keys, "sha", "_sha")
+    if votes is None:
+        out = out.withColumn("_near", F.lit(None).cast("int"))
+    else:
+        out = out.join(votes.select(F.col("id").alias("_v"), F.col("dhash_label").alias("_near")), F.col("id") == F.col("_v"), "left").drop("_v")
+    source = F.when(F.col("_text").isNotNull(), "text").when(F.col("_sha").isNotNull(), "sha").when(F.col("_near").isNotNull(), "dhash")
+    return out.withColumn("memory_label", F.coalesce("_text", "_sha", "_near")).withColumn("memory_source", source).drop("_text", "_sha", "_near")
 
 
 def negative_descriptions(labelled: DataFrame) -> DataFrame:
     """(category, key) of descriptions that only unwanted cards have."""
-    rows = labelled.where(F.col("label").isNotNull()).select("category", tx.digest(F.col("desc_n")).alias("key"), "label").where("key is not null")
+    rows = labelled.where(F.col("label").isNotNull()).select("category", _key(labelled, "desc_digest").alias("key"), "label").where("key is not null")
     return rows.groupBy("category", "key").agg(F.max("label").alias("_top")).where(F.col("_top") == 0).select("category", "key")
 
 
 def with_negative_description(cards: DataFrame, keys: DataFrame) -> DataFrame:
     """Adds negative_description."""
     k = keys.select(F.col("category").alias("_c"), F.col("key").alias("_k"), F.lit(True).alias("_hit"))
-    out = cards.withColumn("_key", tx.digest(F.col("desc_n"))).join(k, (F.col("category") == F.col("_c")) & (F.col("_key") == F.col("_k")), "left")
+    out = cards.withColumn("_key", _key(cards, "desc_digest")).join(k, (F.col("category") == F.col("_c")) & (F.col("_key") == F.col("_k")), "left")
     return out.withColumn("negative_description", F.coalesce("_hit", F.lit(False))).drop("_c", "_k", "_hit", "_key")
 
 

@@ -13,6 +13,7 @@ from shelfmark.functions import rules, scores
 from shelfmark.functions import text as tx
 from shelfmark.operators import dedup, explain, features, hamming, images, knn, linear, thresholds, transfer
 from shelfmark.plans import pipeline
+from shelfmark.scratch import written
 from shelfmark.session import table
 
 LATIN = rules.Bank(
@@ -37,6 +38,11 @@ def normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipeline.prepared(cards(spark, sf_dir))
 
 
+def keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cards' ids, labels and keys, written once for the queries that look at them from several sides."""
+    return written(transfer.with_keys(normalized(spark, sf_dir)).select("id", "category", "label", "desc_key", "name_key", "brand_key"), "keys")
+
+
 def _norm(x: str) -> str:
     return f"trim(regexp_replace(regexp_replace(replace(lower(coalesce({x}, '')), 'ё', 'е'), '<[^>]*>', ' ', 'g'), '[^0-9a-zа-я]+', ' ', 'g'))"
 
@@ -149,12 +155,12 @@ def structural_features(spark, sf_dir):
 
 @query(_stats() + "SELECT * FROM stats")
 def template_stats(spark, sf_dir):
-    return transfer.template_stats(normalized(spark, sf_dir))
+    return transfer.template_stats(keyed(spark, sf_dir))
 
 
 @query(_stats() + f"SELECT category, kind, count(*)::BIGINT AS n_keys, count(*) FILTER ({_verdict()} = 1)::BIGINT AS pure_pos, count(*) FILTER ({_verdict()} = 0)::BIGINT AS pure_neg FROM stats GROUP BY ALL")
 def template_purity(spark, sf_dir):
-    return transfer.pure_counts(transfer.template_stats(normalized(spark, sf_dir)))
+    return transfer.pure_counts(transfer.template_stats(keyed(spark, sf_dir)))
 
 
 def _transfer_sql(names: bool, group: int = 2) -> str:
@@ -167,13 +173,13 @@ FROM keyed k LEFT JOIN v d ON d.kind = 'desc' AND d.category = k.category AND d.
 
 @query(_transfer_sql(True))
 def template_transfer(spark, sf_dir):
-    rows = normalized(spark, sf_dir)
+    rows = keyed(spark, sf_dir)
     return transfer.template_transfer(rows, transfer.template_stats(rows)).select("id", "decision", "transfer_reason")
 
 
 @query(_transfer_sql(False, 1))
 def description_transfer(spark, sf_dir):
-    rows = normalized(spark, sf_dir)
+    rows = keyed(spark, sf_dir)
     return transfer.template_transfer(rows, transfer.template_stats(rows, 1), 1, names=False).select("id", "decision", "transfer_reason")
 
 
@@ -184,12 +190,12 @@ brands AS (SELECT category, brand, count(*)::BIGINT AS n, sum(label)::BIGINT AS
 
 @query(_BRANDS + "SELECT * FROM brands")
 def brand_stats(spark, sf_dir):
-    return transfer.brand_stats(normalized(spark, sf_dir))[0]
+    return transfer.brand_stats(keyed(spark, sf_dir))[0]
 
 
 @query(_BRANDS + "SELECT k.id, round(coalesce((b.pos + 3.0::DOUBLE * p.prior) / (b.n + 3.0::DOUBLE), p.prior, 0.5), 9) AS brand_prob FROM keyed k LEFT JOIN priors p ON p.category = k.category LEFT JOIN brands b ON b.category = k.category AND b.brand = k.brand")
 def brand_prob(spark, sf_dir):
-    rows = normalized(spark, sf_dir)
+    rows = keyed(spark, sf_dir)
     return transfer.with_brand_prob(rows, *transfer.brand_stats(rows)).select("id", F.round("brand_prob", 9).alias("brand_prob"))
 
 
@@ -198,13 +204,13 @@ _KEY = "regexp_replace(lower(name || description), '[^0-9a-zа-яё]+', '', 'g')
 
 @query(CARDS + f", k AS (SELECT *, {_KEY} AS key FROM norm), u AS (SELECT category, key, min(label) AS label FROM k WHERE label IS NOT NULL AND key <> '' GROUP BY ALL HAVING min(label) = max(label)) SELECT k.id, u.label AS memory_label, CASE WHEN u.label IS NOT NULL THEN 'text' END AS memory_source FROM k LEFT JOIN u ON u.category = k.category AND u.key = k.key")
 def memory_unanimous(spark, sf_dir):
-    rows = cards(spark, sf_dir).withColumn("text_key", tx.dedup_key(F.col("name"), F.col("description")))
+    rows = written(cards(spark, sf_dir).select("id", "category", "label", tx.digest(tx.dedup_key(F.col("name"), F.col("description"))).alias("text_key")), "keys")
     return transfer.memory_lookup(rows, transfer.unanimous_keys(rows, F.col("text_key"))).select("id", "memory_label", "memory_source")
 
 
 @query(CARDS + "SELECT n.id, coalesce(k.hit, false) AS negative_description FROM norm n LEFT JOIN (SELECT category, desc_n, true AS hit FROM norm WHERE label IS NOT NULL AND desc_n <> '' GROUP BY ALL HAVING max(label) = 0) k ON k.category = n.category AND k.desc_n = n.desc_n")
 def negative_desc(spark, sf_dir):
-    rows = normalized(spark, sf_dir)
+    rows = written(normalized(spark, sf_dir).select("id", "category", "label", tx.digest(F.col("desc_n")).alias("desc_digest")), "keys")
     return transfer.with_negative_description(rows, transfer.negative_descriptions(rows)).select("id", "negative_description")
 
 
@@ -244,7 +250,7 @@ m AS (SELECT p.id, p.category, coalesce(e.n_exact, 0) AS n_exact, e.exact_low, e
 
 
 def _exact(spark, sf_dir):
-    rows = normalized(spark, sf_dir).withColumn("sha", F.sha2("description", 256))
+    rows = written(normalized(spark, sf_dir).withColumn("sha", F.sha2("description", 256)).select("id", "category", "label", "name_n", "sha"), "hashes")
     return transfer.exact_matches(rows, rows.where("label is not null"))
 
 
@@ -419,9 +425,9 @@ def dense_head_predict(spark, sf_dir):
 
 
 def _members(spark, sf_dir) -> DataFrame:
-    rows = normalized(spark, sf_dir)
-    edges = dedup.key_edges(rows, tx.dedup_key(F.col("name"), F.col("description"))).unionByName(dedup.key_edges(rows, tx.template_key(F.col("desc_n"))))
-    return dedup.families(edges)
+    rows = pipeline.prepared(cards(spark, sf_dir)).select("id", tx.digest(tx.dedup_key(F.col("name"), F.col("description"))).alias("text"), tx.template_key(F.col("desc_n")).alias("template"))
+    rows = written(rows, "family-keys")
+    return dedup.families(dedup.key_edges(rows, F.col("text")).unionByName(dedup.key_edges(rows, F.col("template"))))
 
 
 _MEMBERS = CARDS.replace("WITH cards", "WITH RECURSIVE cards") + f""", k AS (SELECT id, {_KEY} AS a, {TKEY} AS b FROM norm),
@@ -458,8 +464,8 @@ def group_means(spark, sf_dir):
 c AS (SELECT id, term, count(*) AS tf FROM t GROUP BY ALL), n AS (SELECT count(*)::DOUBLE AS n FROM documents), v AS (SELECT term, ln((1 + any_value(n)) / (1 + count(*))) + 1 AS idf FROM c, n GROUP BY term HAVING count(*) >= 3),
 r AS (SELECT id, term, (1 + ln(tf)) * idf AS raw FROM c JOIN v USING (term)), z AS (SELECT id, sqrt(sum(raw * raw)) AS norm FROM r GROUP BY 1) SELECT id, count(*)::BIGINT AS n_terms, round(max(raw / norm), 8) AS top_weight, round(sum(raw / norm), 6) AS total_weight FROM r JOIN z USING (id) GROUP BY id""")
 def tfidf_word(spark, sf_dir):
-    rows = normalized(spark, sf_dir)
-    counts = features.term_counts(rows, features.word_ngrams(F.col("desc_n"), 1, 2, features.BASIC_WORDS["token"]))
+    rows = pipeline.prepared(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lit("").alias("name"), F.col("text").alias("description")))
+    counts = written(features.term_counts(rows, features.word_ngrams(F.col("desc_n"), 1, 2, features.PLAIN_WORD)), "counts")
     weights = features.tfidf(counts, features.document_frequencies(counts, rows.count(), 3))
     return features.summary(weights).select("id", "n_terms", F.round("top_weight", 8).alias("top_weight"), F.round("total_weight", 6).alias("total_weight"))
 
@@ -468,7 +474,7 @@ def tfidf_word(spark, sf_dir):
 g AS (SELECT id, w[i:i + n - 1] AS term FROM p, unnest([3, 4, 5, 6]) AS s(n), LATERAL (SELECT unnest(range(1, greatest(length(w) - n + 2, 1))) AS i) UNION ALL SELECT id, w AS term FROM p WHERE length(w) < 3)
 SELECT term, count(DISTINCT id)::BIGINT AS df FROM g GROUP BY 1""")
 def char_wb_ngrams(spark, sf_dir):
-    rows = normalized(spark, sf_dir)
+    rows = pipeline.prepared(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("name"), F.lit("").alias("description")))
     counts = features.term_counts(rows, features.char_wb_ngrams(F.col("name_n"), 3, 6))
     return features.document_frequencies(counts, rows.count()).select("term", "df")
 
@@ -644,7 +650,8 @@ SELECT id, pred, reason, '<комментарий>' || comment || '<вердик
 
 @query(_PIPE)
 def pipeline_verdict(spark, sf_dir):
-    rows = normalized(spark, sf_dir).withColumn("text_prob", (F.length("desc_n") % 1000) / F.lit(1000.0))
+    rows = transfer.with_keys(normalized(spark, sf_dir)).withColumn("text_prob", (F.length("desc_n") % 1000) / F.lit(1000.0))
+    rows = written(rows.drop("name", "description"), "cards")
     tables = pipeline.Tables(templates=transfer.template_stats(rows, 1))
     return pipeline.decide(rows, pipeline.Options(bank=LATIN, min_group=1), tables).select("id", "pred", "reason", "result")
 
