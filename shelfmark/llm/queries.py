@@ -109,9 +109,30 @@ FROM f GROUP BY conv_id
 """
 
 
+OP3_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]) END AS shingles FROM d),
+x AS (SELECT doc_id, unnest(shingles) AS shingle FROM s),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS n FROM x a JOIN x b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT u, v FROM p JOIN s a ON a.doc_id = u JOIN s b ON b.doc_id = v WHERE 100 * n >= 85 * (len(a.shingles) + len(b.shingles) - n)),
+e AS (SELECT u, v FROM l UNION ALL SELECT v, u FROM l),
+walk AS (SELECT u AS doc_id, u AS reach FROM e UNION SELECT walk.doc_id, e.v FROM walk JOIN e ON e.u = walk.reach),
+c AS (SELECT doc_id, min(reach) AS component_id FROM walk GROUP BY 1)
+SELECT s.doc_id, len(shingles)::BIGINT AS n_shingles, coalesce(component_id, s.doc_id) AS component_id, coalesce(component_id, s.doc_id) = s.doc_id AS kept FROM s LEFT JOIN c USING (doc_id)
+"""
+
+OP10_SQL = """
+WITH RECURSIVE g AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings WHERE label IS NOT NULL AND list_sum([v::DOUBLE * v::DOUBLE FOR v IN embedding]) > 0 AND len(list_filter(embedding, lambda v: v IS NULL OR isnan(v) OR isinf(v))) = 0),
+e AS (SELECT a.vec_id AS u, b.vec_id AS v FROM g a JOIN g b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x) AND list_cosine_similarity(a.x, b.x) >= 0.93),
+walk AS (SELECT u AS vec_id, u AS reach FROM e UNION SELECT walk.vec_id, e.v FROM walk JOIN e ON e.u = walk.reach),
+c AS (SELECT vec_id, min(reach) AS component_id FROM walk GROUP BY 1), n AS (SELECT u AS vec_id, count(*) AS n_links FROM e GROUP BY 1)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, coalesce(component_id, vec_id) AS component_id, coalesce(component_id, vec_id) = vec_id AS kept FROM embeddings LEFT JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)
+"""
+
+
 def queries() -> dict:
     return {"op1_secret_scan": op1_secret_scan, "op2_decontamination": op2_decontamination, "op3_minhash_neardup": op3_minhash_neardup, "op4_token_output": op4_token_output, "op5_mixing": op5_mixing, "op6_quality": op6_quality, "op7_chat_format": op7_chat_format, "op8_language_id": op8_language_id, "op9_pii": op9_pii, "op10_embedding_neardup": op10_embedding_neardup}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": OP5_SQL, "op7_chat_format": OP7_SQL}
+    return {"op3_minhash_neardup": OP3_SQL, "op5_mixing": OP5_SQL, "op7_chat_format": OP7_SQL, "op10_embedding_neardup": OP10_SQL}

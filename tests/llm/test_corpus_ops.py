@@ -406,7 +406,7 @@ def test_recall_with_many_cells():
     assert all(h in w for h, w, c in zip(homes, whole, close) if c)  # pruning by planes loses nothing
 
 
-@pytest.mark.parametrize("name", ["op5_mixing", "op7_chat_format"])
+@pytest.mark.parametrize("name", ["op3_minhash_neardup", "op5_mixing", "op7_chat_format", "op10_embedding_neardup"])
 def test_sql(spark, data, name):
     from compare import check, connection
 
