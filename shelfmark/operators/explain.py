@@ -137,3 +137,10 @@ def contract(expected: DataFrame, results: DataFrame) -> DataFrame:
     by = e.unionByName(r).groupBy("id").agg(F.sum("e").alias("e"), F.sum("r").alias("r"), F.sum("bad").alias("bad"))
     out = by.agg(F.coalesce(F.sum("e"), F.lit(0)).alias("n_expected"), F.coalesce(F.sum("r"), F.lit(0)).alias("n_results"), F.count_if((F.col("e") > 0) & (F.col("r") == 0)).alias("n_missing"), F.count_if((F.col("e") == 0) & (F.col("r") > 0)).alias("n_unknown"), F.count_if(F.col("r") > 1).alias("n_repeated"), F.coalesce(F.sum("bad"), F.lit(0)).alias("n_invalid"))
     return out.withColumn("ok", (F.col("n_expected") == F.col("n_results")) & (F.col("n_missing") + F.col("n_unknown") + F.col("n_repeated") + F.col("n_invalid") == 0))
+
+
+def moved(expected: DataFrame, results: DataFrame) -> DataFrame:
+    """(pos, expected_id, id) where the results (pos, id) aren't the input's sequence: another id, none, or one too many."""
+    e = expected.select("pos", F.col("id").cast("string").alias("expected_id"))
+    r = results.select("pos", F.col("id").cast("string").alias("id"))
+    return e.join(r, "pos", "full").where(~F.col("expected_id").eqNullSafe(F.col("id")))

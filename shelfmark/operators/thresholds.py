@@ -39,6 +39,12 @@ def best_threshold(rows: DataFrame, by: list[str], prob: str = "prob", label: st
     return plateau.groupBy(*by).agg(F.max("best").alias("b"), F.percentile("prob", F.lit(0.5)).alias("t")).select(*by, F.when(F.col("b") > 0, F.col("b")).otherwise(0.0).alias("best_f1"), F.when(F.col("b") > 0, F.col("t")).otherwise(NO_THRESHOLD).alias("threshold"))
 
 
+def best_f1(rows: DataFrame, by: list[str], prob: str = "prob", label: str = "label") -> DataFrame:
+    """(*by, best_f1, threshold): the best F1 of all cuts and the highest score, a row's own, that reaches it."""
+    f1 = score_groups(rows, by, prob, label).withColumn("f1", 2.0 * F.col("tp") / (F.col("k") + F.col("positives")))
+    return f1.groupBy(*by).agg(F.max(F.struct("f1", "prob")).alias("m")).select(*by, F.col("m.f1").alias("best_f1"), F.col("m.prob").alias("threshold"))
+
+
 def f1_curve(rows: DataFrame, by: list[str], steps: int, first: int = 1, prob: str = "prob", label: str = "label") -> DataFrame:
     """(*by, threshold, tp, fp, fn, f1) at thresholds i / steps, i from first up to steps - first.
 

