@@ -28,6 +28,14 @@ def comment_prompt(category: Column, text: Column, pred: Column, evidence: Colum
     return F.concat(F.lit("Категория проверки: "), category, F.lit(".\nКарточка товара: "), F.left(text_of(text), F.lit(TEXT_CHARS)), F.lit("\n\nВердикт проверки: "), verdict, F.lit(" - это значит, что "), _meaning(pred, category), F.lit(". "), evidence, F.lit("\n" + ASK))
 
 
+def rules_of(versions: dict[str, dict[str, str]], version: str | None = None) -> dict[str, str]:
+    """The rule texts of a version (without one, the first): scoring asks as training did, so an unknown version is an error."""
+    version = next(iter(versions)) if version is None else version
+    if version not in versions:
+        raise ValueError(f"no rules of version {version}")
+    return versions[version]
+
+
 def card_prompt(category: Column, name: Column, description: Column, rules: dict[str, str]) -> Column:
     """The yes-or-no question about a card; rules gives the text of each category's rule."""
     rule = F.lit(NO_RULE)

@@ -84,7 +84,8 @@ def query(sql: str | None = None):
 
 @query(CARDS + "SELECT id, name_n, desc_n FROM norm")
 def normalize_text(spark, sf_dir):
-    return normalized(spark, sf_dir).select("id", "name_n", "desc_n")
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("name"), F.col("text").alias("description"))
+    return pipeline.prepared(texts).select("id", "name_n", "desc_n")
 
 
 @query(r"""SELECT doc_id AS id, trim(regexp_replace(regexp_replace(text, '</?[a-zA-Z][a-zA-Z0-9]{0,19}(?:\s[^>]{0,300})?/?>', ' ', 'g'), '\s+', ' ', 'g')) AS cleaned FROM documents""")
@@ -97,9 +98,9 @@ def clean_html(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", tx.clean(F.col("html")).alias("cleaned"))
 
 
-@query(CARDS + "SELECT id, 'название ' || name_n || ' название ' || name_n || ' описание ' || desc_n AS model_text, left('passage: ' || name || '. ' || description, 1500) AS passage, regexp_replace(lower(name || description), '[^0-9a-zа-яё]+', '', 'g') AS dedup_key FROM norm")
+@query(CARDS + "SELECT id, 'название ' || name_n || ' название ' || name_n || ' описание ' || desc_n AS model_text, left('passage: ' || name || '. ' || description, 1500) AS passage, 'Название: ' || name || chr(10) || 'Категория: ' || coalesce(category, '') || chr(10) || 'Описание: ' || description AS labelled, name_n || chr(31) || desc_n AS full_key, regexp_replace(lower(name || description), '[^0-9a-zа-яё]+', '', 'g') AS dedup_key FROM norm")
 def model_texts(spark, sf_dir):
-    return normalized(spark, sf_dir).select("id", tx.model_text(F.col("name_n"), F.col("desc_n")).alias("model_text"), tx.passage_text(F.col("name"), F.col("description")).alias("passage"), tx.dedup_key(F.col("name"), F.col("description")).alias("dedup_key"))
+    return normalized(spark, sf_dir).select("id", tx.model_text(F.col("name_n"), F.col("desc_n")).alias("model_text"), tx.passage_text(F.col("name"), F.col("description")).alias("passage"), tx.labelled_text(F.col("name"), tx.text_of(F.col("category")), F.col("description")).alias("labelled"), tx.full_key_text(F.col("name_n"), F.col("desc_n")).alias("full_key"), tx.dedup_key(F.col("name"), F.col("description")).alias("dedup_key"))
 
 
 def _hit(rule: str, text: str) -> str:
@@ -565,6 +566,17 @@ def honest_blend(spark, sf_dir):
     return thresholds.honest_blend(rows, mix, WEIGHTS, 5).select("category", "tp", "fp", "fn", F.round("f1", 9).alias("f1"))
 
 
+_LINEAR = "round(w * prob + (1 - w) * other, 6)"
+
+
+@query(_SCORED.replace("WITH s", "WITH r") + f", s AS (SELECT category, label, w, {_LINEAR} AS mixed FROM r, unnest({WEIGHTS}) AS x(w))" + _best("category, w", "mixed") + "SELECT category, w, round(best_f1, 9) AS best_f1, threshold FROM best QUALIFY row_number() OVER (PARTITION BY category ORDER BY best_f1 DESC, w) = 1")
+def linear_blend_search(spark, sf_dir):
+    rows = _scored(spark, sf_dir).select("category", "label", F.col("prob").alias("text"), "other")
+    mix = F.round(scores.linear_blend(F.col("text"), F.col("other"), F.col("w")), 6)
+    searched = thresholds.best_weight(thresholds.blend_search(rows, mix, WEIGHTS, ["category"]), ["category"])
+    return searched.select("category", "w", F.round("best_f1", 9).alias("best_f1"), "threshold")
+
+
 @query("SELECT o.user_id AS id, round(o.prob, 9) AS prob, round(coalesce(v.prob, o.prob), 9) AS other_prob, o.n_folds FROM (SELECT user_id, avg(value / 500) AS prob, count(*)::BIGINT AS n_folds FROM events WHERE event_type = 'view' GROUP BY 1) o JOIN (SELECT DISTINCT user_id FROM events WHERE event_type = 'click') l USING (user_id) LEFT JOIN (SELECT user_id, avg(value / 500) AS prob FROM events WHERE event_type = 'purchase' GROUP BY 1) v USING (user_id)")
 def oof_merge(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), "event_type", (F.col("value") / 500).alias("prob"))
@@ -625,9 +637,14 @@ def contract_check(spark, sf_dir):
     return explain.contract(rows, rows)
 
 
-@query(r"""SELECT conv_id, turn, length(t) >= 50 AS valid FROM (SELECT *, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS t FROM conversations)""")
+SAID = (" Товар не относится к категории.", " Товар действительно относится к ней.", " Вердикт: бан, увы.", " Это бандаж, банка и урбан.")
+
+
+@query(r"""WITH t AS (SELECT *, trim(regexp_replace(coalesce(text, '') || [SAID][turn % 4 + 1], '\s+', ' ', 'g')) AS t FROM conversations)
+SELECT conv_id, turn, length(t) >= 50 AND NOT regexp_matches(t, '(?i)(^|[^а-яa-zё])бан($|[^а-яa-zё])') AND NOT (conv_id % 2 = 1 AND regexp_matches(t, '(?i)не\s+относится')) AND NOT (conv_id % 2 = 0 AND regexp_matches(t, '(?i)действительно\s+относится')) AS valid FROM t""".replace("SAID", ", ".join(f"'{x}'" for x in SAID)))
 def comment_valid(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", explain.comment_is_valid(F.col("text"), F.lit(1)).alias("valid"))
+    said = F.concat(F.coalesce("text", F.lit("")), F.element_at(F.array(*[F.lit(x) for x in SAID]), (F.col("turn") % 4 + 1).cast("int")))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", explain.comment_is_valid(said, F.col("conv_id") % 2).alias("valid"))
 
 
 @query(r"SELECT conv_id, turn, regexp_replace(text, '^\s+|\s+$', '', 'g') AS cleaned FROM conversations")

@@ -29,6 +29,10 @@ def test_prompts(spark):
     r = one.select(prompts.comment_prompt(F.col("c"), F.col("t"), F.lit(1), F.lit("Основания.")).alias("a"), prompts.card_prompt(F.col("c"), F.col("n"), F.col("d"), {"К": "правило"}).alias("b"), prompts.messages(F.col("n"), "s", [("q", "a")]).alias("m")).first()
     assert "«К»" in r.a and r.a.count("т" * 2400) == 1 and "т" * 2401 not in r.a
     assert r.b.startswith("Категория проверки: К.\nПравило: правило.\nНазвание: имя\nОписание: \n")
+    versions = {"v1": {"К": "кратко"}, "v2": {"К": "полностью"}}
+    assert prompts.rules_of(versions) == versions["v1"] and prompts.rules_of(versions, "v2") == versions["v2"]
+    with pytest.raises(ValueError):
+        prompts.rules_of(versions, "v3")
     assert [(m.role, m.content) for m in r.m] == [("system", "s"), ("user", "q"), ("assistant", "a"), ("user", "имя")]
 
 
@@ -110,3 +114,9 @@ def test_regularised_bias_and_dense_head(spark):
     assert np.allclose([*made.weights, made.bias], w, atol=2e-3)
     prob = linear.score(rows.select("embedding", linear.dense_vector(F.col("embedding")).alias("features")), made).collect()
     assert all(abs(r.prob - 1 / (1 + np.exp(-(np.dot(r.embedding, w[:2]) + w[2])))) < 2e-3 for r in prob)
+
+
+def test_dense_heads_over_a_grid(spark):
+    rows = spark.createDataFrame([(i, i % 2, i // 3, [float(i % 2) + 0.1 * (i % 7), 1.0, float(i % 5)]) for i in range(60)], "id long, label int, g long, embedding array<float>")
+    made, unit, k = training.train_dense(rows, grid=(3.0,), units=(True, False), components=(None, 2))
+    assert made.f1 > 0.7 and len(made.head.weights) == (k or 3) and unit in (True, False)
