@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from shelfmark.llm.batches import bound_batches, map_texts, slices
 from shelfmark.llm.shingles import mix64, text_shingles
 from shelfmark.operators.graph import connected_components
-from shelfmark.scratch import written
+from shelfmark.scratch import new_path, passing, saved, written
 
 #: 32 bands of 6 samples: at a similarity of 0.8 some band agrees but for 6 in 100,000 pairs, at 0.85 for 3 in ten millions.
 BANDS, ROWS = 32, 6
@@ -265,6 +265,13 @@ def links(docs: DataFrame, prints: DataFrame, key: str = "doc_id", text: str = "
     return direct.unionByName(inner)
 
 
+def _components(docs: DataFrame, prints: DataFrame, key: str, text: str, percent: int) -> DataFrame:
+    """Components of the links; what was written on the way to them goes."""
+    path = new_path(docs.sparkSession, "components")
+    with passing(docs.sparkSession):
+        return saved(connected_components(links(docs, prints, key, text, percent)), path)
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """(key, n_shingles, component_id, kept) for each row: kept is the least key of each group of near-duplicates.
 
@@ -275,7 +282,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     table gives no rows. Further columns are ignored.
     """
     prints = written(fingerprints(docs, key, text).withColumn("print", F.when(F.col(key).isNotNull(), F.col("print"))), "prints")
-    component = connected_components(links(docs, prints, key, text, percent))
+    component = _components(docs, prints, key, text, percent)
     reps = prints.where(F.col("print").isNotNull()).groupBy("print").agg(F.min(key).alias("node"))
     classes = reps.join(component, "node", "left").select("print", F.coalesce("component", "node").alias("component_id"))
     alone = prints.where(F.col("print").isNull()).select(key, "n_shingles", F.col(key).alias("component_id"))
@@ -294,7 +301,7 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
     node = F.unhex(F.md5(F.concat(F.col(key).cast("string"), F.lit("\0"), F.coalesce(F.col(text).cast("string"), F.lit("")))))
     texts = keyed.select(node.alias("node"), F.col(text).alias("text"), F.col(key).alias("own"))
     prints = written(fingerprints(texts, "node", "text", {"own": F.col("own")}), "prints")
-    component = connected_components(links(texts, prints, "node", "text", percent))
+    component = _components(texts, prints, "node", "text", percent)
     some = prints.where(F.col("print").isNotNull()).select("node", "own", "print")
     reps = some.groupBy("print").agg(F.min("node").alias("node"), F.min(F.struct("own", "node")).alias("first"))
     first = reps.join(component, "node", "left").groupBy(F.coalesce("component", "node").alias("group")).agg(F.min("first").alias("first")).select("first.node")

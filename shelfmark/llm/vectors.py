@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.llm.batches import bound_batches
 from shelfmark.operators.graph import connected_components
-from shelfmark.scratch import written
+from shelfmark.scratch import new_path, passing, saved, written
 
 THRESHOLD = 0.93
 #: Cells are the root of the number of classes, up to MOST_CELLS. The fit sees four classes a cell, but SAMPLE at least.
@@ -228,24 +228,28 @@ def near_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "embedding"
     names = ["label", "a", "copies", "dim"]
     bound_batches(rows.sparkSession)
     made = f"label {label_kind}, a {id_kind}, copies bigint, dim int, vector binary, codes binary, error float, cells array<int>, at array<struct<region:int,home:boolean>>"
-    coded = written(classes.select(*names, "embedding").mapInArrow(_coded(models, probes, reach, names, kind), made), "coded")
-    # A region's list and its probers; who lists there also probes there.
-    placed = coded.select("*", F.inline("at"))
-    at = ["label", "dim", "region"]
-    sizes = placed.select(*at, "home").groupBy(*at).agg(F.count_if("home").alias("l"), F.count("*").alias("p")).where("l > 0 and p > 1")
-    sizes = sizes.select(*at, F.ceil(F.col("l") / BLOCK).cast("int").alias("ls"), F.ceil(F.col("p") / BLOCK).cast("int").alias("ps"))
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    own = lambda n: F.pmod(F.xxhash64("a"), F.col(n)).cast("int")
-    both = placed.join(sizes, at)
-    # In a region of one block a class that is at home there is a row of both sides.
-    one = F.col("ls") * F.col("ps") == 1
-    left = both.where(F.col("home") & ~one).withColumn("i", own("ls")).withColumn("j", spread("ps")).withColumn("side", F.lit(LISTED_ONLY))
-    right = both.withColumn("j", own("ps")).withColumn("i", spread("ls")).withColumn("side", F.when(F.col("home") & one, F.lit(LISTED_AND_PROBES)).otherwise(PROBES_ONLY))
-    right = right.withColumn("codes", F.when(F.col("side") == LISTED_AND_PROBES, F.col("codes")))
-    what = [F.struct(*at, "i", "j").alias("block"), "side", "a", "copies", "vector", "cells", "codes", "error"]
-    found = left.select(*what).unionByName(right.select(*what)).groupBy("block").applyInArrow(_compare(models, threshold, kind), f"a {id_kind}, b {id_kind}, n bigint")
-    found = written(found, "links")
-    component = connected_components(found.where("b is not null").select("a", "b"))
+    path, spark = new_path(rows.sparkSession, "links"), rows.sparkSession
+    with passing(spark):  # codes and placements go, links stay
+        coded = written(classes.select(*names, "embedding").mapInArrow(_coded(models, probes, reach, names, kind), made), "coded")
+        # A region's list and its probers; who lists there also probes there.
+        placed = coded.select("*", F.inline("at"))
+        at = ["label", "dim", "region"]
+        sizes = placed.select(*at, "home").groupBy(*at).agg(F.count_if("home").alias("l"), F.count("*").alias("p")).where("l > 0 and p > 1")
+        sizes = sizes.select(*at, F.ceil(F.col("l") / BLOCK).cast("int").alias("ls"), F.ceil(F.col("p") / BLOCK).cast("int").alias("ps"))
+        spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        own = lambda n: F.pmod(F.xxhash64("a"), F.col(n)).cast("int")
+        both = placed.join(sizes, at)
+        # In a region of one block a class that is at home there is a row of both sides.
+        one = F.col("ls") * F.col("ps") == 1
+        left = both.where(F.col("home") & ~one).withColumn("i", own("ls")).withColumn("j", spread("ps")).withColumn("side", F.lit(LISTED_ONLY))
+        right = both.withColumn("j", own("ps")).withColumn("i", spread("ls")).withColumn("side", F.when(F.col("home") & one, F.lit(LISTED_AND_PROBES)).otherwise(PROBES_ONLY))
+        right = right.withColumn("codes", F.when(F.col("side") == LISTED_AND_PROBES, F.col("codes")))
+        what = [F.struct(*at, "i", "j").alias("block"), "side", "a", "copies", "vector", "cells", "codes", "error"]
+        found = left.select(*what).unionByName(right.select(*what)).groupBy("block").applyInArrow(_compare(models, threshold, kind), f"a {id_kind}, b {id_kind}, n bigint")
+        found = saved(found, path)
+    path = new_path(spark, "components")
+    with passing(spark):
+        component = saved(connected_components(found.where("b is not null").select("a", "b")), path)
     direct = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     nodes = classes.select(*by, F.col("a").alias("node"), "copies").join(direct, "node", "left").join(component, "node", "left")
     nodes = nodes.select(*by, (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).cast("bigint").alias("n_links"), F.coalesce("component", "node").alias("component_id"))
