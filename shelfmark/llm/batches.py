@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -23,6 +24,14 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH, str(BATCH_BYTES))
 
 
+def release() -> None:
+    """Give memory that is free back to the system: workers live on between tasks, and what a stage has needed would stay theirs."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def slices(batch: pa.RecordBatch | pa.Array, text: str | None = None, rows: int = ROWS, size: int = BYTES) -> Iterator:
     """Pieces of a batch (by its column text) or of an array of texts, in order, within the bounds above."""
     column = batch if text is None else batch.column(batch.schema.get_field_index(text))
@@ -49,6 +58,8 @@ def text_filter(docs: DataFrame, text: str, make: Callable[[], Callable[[pa.Arra
         for batch in batches:
             parts = [apply(piece) for piece in slices(batch)]
             yield pa.concat_arrays(parts) if parts else pa.array([], pa.bool_())
+        apply = None
+        release()
 
     return docs.where(F.arrow_udf(keep, "boolean")(F.col(f"`{text}`").cast("string")))
 
@@ -76,6 +87,8 @@ def map_texts(docs: DataFrame, key: str, text: str, make: Callable[[], Callable[
                 columns = [piece.column(piece.schema.get_field_index(f.name)) for f in kept]
                 columns += apply(piece.column(piece.schema.get_field_index("_text")))
                 yield pa.RecordBatch.from_arrays([c if c.type == f.type else c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+        apply = columns = None
+        release()
 
     rows = source.mapInArrow(run, out)
     return rows.select(F.col("_key").alias(key), *[F.col(f"_also_{n}").alias(n) for n in also], *[f.name for f in fields])

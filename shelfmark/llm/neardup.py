@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfmark.llm.batches import bound_batches, map_texts, slices
+from shelfmark.llm.batches import bound_batches, map_texts, release, slices
 from shelfmark.llm.shingles import mix64, text_shingles
 from shelfmark.operators.graph import connected_components
 from shelfmark.scratch import new_path, passing, saved, written
@@ -237,6 +237,7 @@ def _wanted_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> Dat
         for batch in batches:
             for piece in slices(batch, "_text"):
                 yield pa.RecordBatch.from_arrays(_sets(piece.column(0)), names=["print", "shingles"])
+        release()
 
     bound_batches(docs.sparkSession)
     return rows.mapInArrow(run, "print binary, shingles binary")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfmark.llm.batches import bound_batches, slices
+from shelfmark.llm.batches import bound_batches, release, slices
 from shelfmark.llm.shingles import mix64, text_bytes, word_hashes
 
 #: Fixed value: how the vocabulary's texts are cut before merging.
@@ -232,6 +232,8 @@ def pack(docs: DataFrame, vocabulary: str, row: int = ROW, key: str = "doc_id",
                     yield made(whole[j : j + 512])
         if rests:
             yield packed()
+        tokens = None
+        release()
 
     order = ["shard", "row", "n_tokens", "doc_ids", "piece", "cu_seqlens", "position_resets", "ids"]
     return source.mapInArrow(run, fields).select(*order)
