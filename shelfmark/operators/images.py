@@ -3,17 +3,25 @@
 An image is (id, sha, words): its product, the hash of its bytes, and four 64-bit words. Two hashes within distance
 d agree in at least one of d + 1 bands of hex digits, so an equality join by band loses no pair. Equal hashes are
 one class first. In a band value that many classes share, the digits outside the band are cut into d + 1 bands
-again, of which one must agree as well, so that no bucket stays hot and still no pair is lost.
+again, of which one must agree as well, so that no bucket stays hot and still no pair is lost. Where digits vary too
+little for that, as in a category whose keys would bring together as many pairs as there are, the searches compare
+all pairs, each once, in tiles of numpy.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfmark.functions.scores import override_prob
 from shelfmark.operators import hamming
 from shelfmark.operators.transfer import MEMORY_PURITY
+from shelfmark.scratch import written
 
 # Distances of the layer, of the memory and of families, and neighbours of an image.
 NEAR, NEAR_MEMORY, NEAR_FAMILY, TOP_K = 4, 6, 6, 128
@@ -21,6 +29,10 @@ DIGITS = 64
 #: Classes that share a band value before its pairs are split further.
 HOT = 2048
 _PARTS = 64
+#: A category with fewer pairs than this is searched by keys in any case; rows of a tile on either side, tiles dealt out at once, and pairs compared at once.
+FEW_PAIRS = 1 << 20
+TILE_X, TILE_Y = 2048, 32768
+_DEALT, _AT_ONCE = 8192, 1 << 21
 
 
 def words_of_grey(grey: Column, width: int = 17) -> Column:
@@ -50,9 +62,9 @@ def _without(code: Column, band: Column, n: int) -> Column:
     return out
 
 
-def near_codes(left: DataFrame, right: DataFrame, max_distance: int, by: list[str] = ("category",), hot: int = HOT) -> DataFrame:
-    """Distinct (*by, x, y, dist) of the words x of left and y of right within the distance, with equal (not null) `by`."""
-    n, by = max_distance + 1, list(by)
+def _keyed(left: DataFrame, right: DataFrame, max_distance: int, by: list[str], hot: int) -> tuple[DataFrame, DataFrame]:
+    """((*by, x, key), (*by, y, key)): the distinct words of each side, a row for each key; words within the distance share one."""
+    n = max_distance + 1
     side = lambda rows, name: rows.where(F.col("words").isNotNull()).select(*by, "words").distinct().withColumn("code", hex_code(F.col("words"))).select(*by, F.col("words").alias(name), "code", F.explode(_bands(F.col("code"), DIGITS, n)).alias("band"))
     l, r = side(left, "x"), side(right, "y")
     busy = r.groupBy(*by, "band").count().where(F.col("count") > hot).select(*by, "band", F.lit(True).alias("busy"))
@@ -63,10 +75,93 @@ def near_codes(left: DataFrame, right: DataFrame, max_distance: int, by: list[st
         keys = F.when(F.col("busy"), F.transform(rest, lambda x: F.concat(F.col("band"), F.lit("/"), x))).otherwise(F.array("band"))
         return rows.join(busy, [*by, "band"], "left").withColumn("key", F.explode(keys)).drop("band", "busy", "code")
 
-    near = keyed(l).join(keyed(r), [*by, "key"]).withColumn("dist", hamming.array_distance(F.col("x"), F.col("y"))).where(F.col("dist") <= max_distance)
+    return keyed(l), keyed(r)
+
+
+def near_codes(left: DataFrame, right: DataFrame, max_distance: int, by: list[str] = ("category",), hot: int = HOT) -> DataFrame:
+    """Distinct (*by, x, y, dist) of the words x of left and y of right within the distance, with equal (not null) `by`."""
+    by = list(by)
+    l, r = _keyed(left, right, max_distance, by, hot)
+    near = l.join(r, [*by, "key"]).withColumn("dist", hamming.array_distance(F.col("x"), F.col("y"))).where(F.col("dist") <= max_distance)
     return near.select(*by, "x", "y", "dist").distinct()
 
 
+def _crowded(left: DataFrame, right: DataFrame, max_distance: int, hot: int = HOT) -> DataFrame | None:
+    """The categories in which near_codes() would compare at least as many pairs as there are; None if there is none."""
+    codes = lambda rows, name: rows.where(F.col("words").isNotNull()).groupBy("category").agg(F.count_distinct("words").cast("double").alias(name))
+    large = written(codes(left, "xs").join(codes(right, "ys"), "category").where(F.col("xs") * F.col("ys") >= FEW_PAIRS), "large")
+    if large.isEmpty():
+        return None
+    l, r = _keyed(left.join(large.select("category"), "category", "left_semi"), right.join(large.select("category"), "category", "left_semi"), max_distance, ["category"], hot)
+    count = lambda rows, name: rows.groupBy("category", "key").agg(F.count("*").cast("double").alias(name))
+    met = count(l, "xk").join(count(r, "yk"), ["category", "key"]).groupBy("category").agg(F.sum(F.col("xk") * F.col("yk")).alias("met"))
+    out = written(met.join(large, "category").where(F.col("met") >= F.col("xs") * F.col("ys")).select("category"), "crowded")
+    return None if out.isEmpty() else out
+
+
+def _tiles(x: DataFrame, y: DataFrame, crowded: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
+    """Both sides of the crowded categories dealt to tiles (category, _x, _y) so that each pair meets in one, and whether a row of x has several."""
+    parts = lambda rows, size, name: rows.groupBy("category").agg(F.ceil(F.count("*") / size).cast("int").alias(name))
+    n = written(crowded.join(parts(x, TILE_X, "xs"), "category").join(parts(y, TILE_Y, "ys"), "category"), "tiles")
+    total, most = n.agg(F.sum(F.col("xs").cast("bigint") * F.col("ys")), F.max("ys")).first()
+
+    def dealt(rows: DataFrame, own: str, other: str) -> DataFrame:
+        rows = rows.join(n, "category").withColumn(f"_{own}", F.pmod(F.xxhash64("words"), F.col(f"{own}s")).cast("int")).withColumn(f"_{other}", F.explode(F.sequence(F.lit(0), F.col(f"{other}s") - 1)))
+        rows = rows.drop("xs", "ys")
+        # Columns of their own, as a cogroup of rows with themselves is ambiguous.
+        return rows.toDF(*rows.columns).repartition(max(1, min(total or 1, _DEALT)), "category", "_x", "_y")
+
+    return dealt(x, "x", "y"), dealt(y, "y", "x"), (most or 1) > 1
+
+
+def _words(table: pa.Table) -> np.ndarray:
+    return table["words"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1).view(np.uint64)
+
+
+def _distances(x: np.ndarray, y: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(first row of x, distances of some rows of x from all of y)."""
+    varied = [w for w in range(x.shape[1]) if (x[:, w] != x[0, w]).any() or (y[:, w] != x[0, w]).any()]
+    step = max(1, _AT_ONCE // len(y))
+    for at in range(0, len(x), step):
+        some = x[at : at + step]
+        out = np.zeros((len(some), len(y)), np.uint16)
+        for w in varied:
+            out += np.bitwise_count(some[:, w, None] ^ y[None, :, w])
+        yield at, out
+
+
+def _nearest(max_distance: int, k: int, names: list[str]):
+    """Of each row of x, the first k rows of y within the distance, by distance, id and nth."""
+
+    def compare(x: pa.Table, y: pa.Table) -> pa.Table:
+        y = y.sort_by([("id", "ascending"), ("nth", "ascending")])
+        rows, columns, dists = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int32)]
+        for at, d in _distances(_words(x), _words(y)) if x.num_rows and y.num_rows else ():
+            # Beyond the distance at which k are found nothing can rank.
+            reach, found = np.full(len(d), max_distance), np.zeros(len(d), np.int64)
+            for v in range(max_distance):
+                found += np.count_nonzero(d == v, axis=1)
+                reach = np.where(found >= k, np.minimum(reach, v), reach)
+            r, c = np.nonzero(d <= reach[:, None])
+            v = d[r, c].astype(np.int32)
+            order = np.argsort(r * (max_distance + 1) + v, kind="stable")
+            r, c, v = r[order], c[order], v[order]
+            first = np.arange(len(r)) - np.searchsorted(r, r) < k
+            rows.append(r[first] + at), columns.append(c[first]), dists.append(v[first])
+        r, c = np.concatenate(rows), np.concatenate(columns)
+        whose, at = np.unique(r, return_index=True)
+        found = pa.StructArray.from_arrays([pa.array(np.concatenate(dists)), *[y[name].take(c).combine_chunks() for name in names[1:]]], names)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(r)).astype(np.int32)), found)
+        return pa.table({"category": x["category"].take(whose), "words": x["words"].take(whose), "found": lists})
+
+    return compare
+
+
+def _cogrouped(x: DataFrame, y: DataFrame, compare, schema: T.StructType) -> DataFrame:
+    keys = ["category", "_x", "_y"]
+    return x.groupBy(*keys).cogroup(y.groupBy(*keys)).applyInArrow(compare, schema)
+
+
 def distinct_fingerprints(images: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((id, sha), (id, words)): each product's distinct content hashes and difference hashes; unreadable images have none."""
     return images.where("sha is not null").select("id", "sha").distinct(), images.where("words is not null").select("id", "words").distinct()
@@ -86,15 +181,35 @@ def _least(rows: DataFrame, by: list[str], order: list, k: int) -> DataFrame:
     return some.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_r") <= k)
 
 
+def _nearest_of_all(asked: DataFrame, index: DataFrame, crowded: DataFrame, max_distance: int, k: int) -> DataFrame:
+    """nearest_images() in the crowded categories. Tiles return each row's k, which are merged where a row has several tiles."""
+    x = asked.where(F.col("words").isNotNull()).select("category", "words").distinct()
+    y = _least(index.where(F.col("words").isNotNull()), ["category", "words"], ["id"], k).drop("_r")
+    y = y.withColumn("nth", F.row_number().over(Window.partitionBy("category", "id").orderBy(hex_code(F.col("words")))))
+    x, y, several = _tiles(x, y.select("category", "words", "id", "nth", "label", "name_n"), crowded)
+    names = ["dist", "id", "nth", "label", "name_n"]
+    kind = T.StructType([T.StructField("dist", T.IntegerType()), *[T.StructField(n, y.schema[n].dataType) for n in names[1:]]])
+    schema = T.StructType([T.StructField(n, x.schema[n].dataType) for n in ("category", "words")] + [T.StructField("found", T.ArrayType(kind))])
+    out = _cogrouped(x, y, _nearest(max_distance, k, names), schema)
+    if several:
+        out = out.groupBy("category", "words").agg(F.slice(F.sort_array(F.flatten(F.collect_list("found"))), 1, k).alias("found"))
+    out = out.select("category", "words", F.posexplode("found").alias("_at", "f"))
+    return out.select("category", "words", "f.id", "f.label", "f.name_n", "f.dist", (F.col("_at") + 1).alias("rank"))
+
+
 def nearest_images(asked: DataFrame, index: DataFrame, max_distance: int = NEAR, k: int = TOP_K) -> DataFrame:
     """(category, words, id, label, name_n, dist, rank): for each difference hash asked for (category, words), the k nearest images of index.
 
     Nearest first, then by product, then by hash. An image counts once for each product that has it.
     """
+    crowded, whole = _crowded(asked, index, max_distance), (asked, index)
+    if crowded is not None:
+        asked, index = (rows.join(crowded, "category", "left_anti") for rows in whole)
     found = near_codes(asked, index, max_distance)
     rows = _least(index.withColumn("y", F.col("words")).drop("words"), ["category", "y"], ["id"], k).drop("_r").join(found, ["category", "y"])
     top = _least(rows.withColumn("_code", hex_code(F.col("y"))), ["category", "x"], ["dist", "id", "_code"], k)
-    return top.select("category", F.col("x").alias("words"), "id", "label", "name_n", "dist", F.col("_r").alias("rank"))
+    top = top.select("category", F.col("x").alias("words"), "id", "label", "name_n", "dist", F.col("_r").alias("rank"))
+    return top if crowded is None else top.unionByName(_nearest_of_all(*whole, crowded, max_distance, k))
 
 
 def perceptual_records(cards: DataFrame, images: DataFrame, index: dict[str, DataFrame], max_distance: int = NEAR, k: int = TOP_K, leave_out: bool = False) -> DataFrame:
@@ -110,6 +225,21 @@ def perceptual_records(cards: DataFrame, images: DataFrame, index: dict[str, Dat
     return rows.groupBy("query_id", "id").agg(F.min("dist").alias("dist"), F.first("label").alias("label"), F.first(F.col("name_n") == F.col("own_name")).alias("same_name"))
 
 
+def near_summary(cards: DataFrame, images: DataFrame, index: dict[str, DataFrame], max_distance: int = NEAR, k: int = TOP_K, leave_out: bool = False) -> DataFrame:
+    """(query_id, near_low, near_high): the labels of a card's perceptual_records() of its own name.
+
+    Neighbours are summed by hash and name before cards are joined: of a label's products the least and the
+    greatest tell whether there is one that isn't the card's.
+    """
+    asked = distinct_fingerprints(images)[1].join(cards.select("id", "category", "name_n"), "id").withColumnRenamed("id", "query_id")
+    near = nearest_images(asked.select("category", "words").distinct(), index["dhash"], max_distance, k)
+    of = lambda v: F.when(F.col("label") == v, F.col("id"))
+    by = near.groupBy("category", "words", "name_n").agg(F.min(of(0)).alias("zero_first"), F.max(of(0)).alias("zero_last"), F.min(of(1)).alias("one_first"), F.max(of(1)).alias("one_last"))
+    any_of = lambda v: F.coalesce((F.col(f"{v}_first") != F.col("query_id")) | (F.col(f"{v}_last") != F.col("query_id")), F.lit(False)) if leave_out else F.col(f"{v}_first").isNotNull()
+    out = asked.join(by, ["category", "words", "name_n"]).groupBy("query_id").agg(F.max(any_of("zero")).alias("zero"), F.max(any_of("one")).alias("one")).where("zero or one")
+    return out.select("query_id", F.when(F.col("zero"), 0).otherwise(1).alias("near_low"), F.when(F.col("one"), 1).otherwise(0).alias("near_high"))
+
+
 def exact_summary(cards: DataFrame, images: DataFrame, index: dict[str, DataFrame], leave_out: bool = False) -> DataFrame:
     """(query_id, n_exact (2: two or more), exact_low, exact_high, exact_same): products with one of a card's content hashes.
 
@@ -135,7 +265,7 @@ def exact_summary(cards: DataFrame, images: DataFrame, index: dict[str, DataFram
 
 def image_decisions(cards: DataFrame, images: DataFrame, index: dict[str, DataFrame], supplement: str, flammable: str, max_distance: int = NEAR, k: int = TOP_K, leave_out: bool = False) -> DataFrame:
     """(id, image_decision, image_reason, image_prob) of every card, as pipeline.evidence_layer() takes it. A card without images abstains."""
-    near = perceptual_records(cards, images, index, max_distance, k, leave_out).where("same_name").groupBy("query_id").agg(F.min("label").alias("near_low"), F.max("label").alias("near_high"))
+    near = near_summary(cards, images, index, max_distance, k, leave_out)
     exact = exact_summary(cards, images, index, leave_out)
     rows = cards.select("id", "category").join(exact.withColumnRenamed("query_id", "id"), "id", "left").join(near.withColumnRenamed("query_id", "id"), "id", "left")
     decision, reason = hamming.decide(F.col("category"), F.coalesce("n_exact", F.lit(0)), F.col("exact_low"), F.col("exact_high"), F.coalesce("exact_same", F.lit(False)), F.col("near_low"), F.col("near_high"), supplement, flammable)

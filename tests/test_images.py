@@ -129,3 +129,55 @@ def test_families_by_images(spark):
                 parent[max(x, y)] = min(x, y)
     want = {i: root(i) for i in parent}
     assert got == {i: f for i, f in want.items() if list(want.values()).count(f) > 1}
+
+
+def few_bits(n=300):
+    """Products with codes that vary in 9 bits only, so that keys bring all of them together, beside a category of codes that vary in all."""
+    r = random.Random(13)
+    cards = [(i, "s" if i % 3 else "f", r.choice([0, 1, 1, None]), f"n{i % 2}") for i in range(n)] + [(n + i, "w", i % 2, "n0") for i in range(60)]
+    pics = [(i, f"sha{i}", [r.getrandbits(8), -r.randint(0, 1), -(2**63), 5]) for i in range(n) for _ in range(2)] + [(n + i, f"sha{i}", [signed(r.getrandbits(64)) for _ in range(4)]) for i in range(60)]
+    return cards, pics
+
+
+@pytest.mark.parametrize("tile", [1 << 15, 70])
+def test_crowded_categories_meet_once(spark, monkeypatch, tile):
+    cards, pics = few_bits()
+    c, p = spark.createDataFrame(cards, SIGNED), spark.createDataFrame(pics, "id long, sha string, words array<long>")
+    index, of = images.retrieval_index(c, p), {x[0]: x for x in cards}
+    asked = c.join(p, "id").select("category", "words").distinct()
+    monkeypatch.setattr(images, "FEW_PAIRS", 1)
+    monkeypatch.setattr(images, "TILE_X", tile)
+    monkeypatch.setattr(images, "TILE_Y", tile)
+    assert {x.category for x in images._crowded(asked, index["dhash"], 4).collect()} == {"s", "f"}
+    got = {}
+    for x in images.nearest_images(asked, index["dhash"], 4, 6).collect():
+        got.setdefault((x.category, tuple(x.words)), []).append((x["rank"], x.dist, x.id, x.label, x.name_n))
+    want = {}
+    known = {(of[i][1], i, tuple(w)) for i, _, w in pics if of[i][2] is not None}
+    for category, words in {(of[i][1], tuple(w)) for i, _, w in pics}:
+        near = sorted((distance(words, w), i, [v & ((1 << 64) - 1) for v in w]) for k, i, w in known if k == category and distance(words, w) <= 4)[:6]
+        if near:
+            want[category, words] = [(n + 1, d, i, of[i][2], of[i][3]) for n, (d, i, _) in enumerate(near)]
+    assert {k: sorted(v) for k, v in got.items()} == want
+    main = p.where("id % 2 = 0").dropDuplicates(["id"]).select("id", "words").join(c, "id")
+    rows = main.collect()
+    votes = {x.id: x.dhash_label for x in images.memory_votes(main, main, 3, 0.7).collect()}
+    for x in rows:
+        labels = [y.label for y in rows if y.category == x.category and y.label is not None and distance(x.words, y.words) <= 3]
+        share = sum(labels) / len(labels) if labels else None
+        assert (x.id in votes) == bool(labels)
+        assert not labels or votes[x.id] == ((1 if share > 0.5 else 0) if max(share, 1 - share) >= 0.7 else None)
+
+
+@pytest.mark.parametrize("leave_out", [False])
+def test_summary_by_name_is_that_of_records(spark, monkeypatch, leave_out):
+    cards, pics = few_bits(120)
+    c, p = spark.createDataFrame(cards, SIGNED), spark.createDataFrame(pics, "id long, sha string, words array<long>")
+    index = images.retrieval_index(c, p)
+    want = {}
+    for x in images.perceptual_records(c, p, index, k=9, leave_out=leave_out).collect():
+        if x.same_name:
+            want.setdefault(x.query_id, []).append(x.label)
+    monkeypatch.setattr(images, "FEW_PAIRS", 1)
+    got = {x.query_id: (x.near_low, x.near_high) for x in images.near_summary(c, p, index, k=9, leave_out=leave_out).collect()}
+    assert len(got) > 60 and got == {i: (min(v), max(v)) for i, v in want.items()}
