@@ -157,6 +157,20 @@ def _nearest(max_distance: int, k: int, names: list[str]):
     return compare
 
 
+def _votes(max_distance: int):
+    """Of each row of x, the sums of n and pos of the rows of y within the distance."""
+
+    def count(x: pa.Table, y: pa.Table) -> pa.Table:
+        sums = np.zeros((x.num_rows, 2), np.int64)
+        each = np.stack([y["n"].to_numpy(), y["pos"].to_numpy()], axis=1).astype(np.float64)
+        for at, d in _distances(_words(x), _words(y)) if x.num_rows and y.num_rows else ():
+            sums[at : at + len(d)] = (d <= max_distance).astype(np.float64) @ each
+        some = np.flatnonzero(sums[:, 0])
+        return pa.table({"category": x["category"].take(some), "words": x["words"].take(some), "n": sums[some, 0], "pos": sums[some, 1]})
+
+    return count
+
+
 def _cogrouped(x: DataFrame, y: DataFrame, compare, schema: T.StructType) -> DataFrame:
     keys = ["category", "_x", "_y"]
     return x.groupBy(*keys).cogroup(y.groupBy(*keys)).applyInArrow(compare, schema)
@@ -279,8 +293,16 @@ def memory_votes(cards: DataFrame, index: DataFrame, max_distance: int = NEAR_ME
     index: category, words, label. Labels are counted by hash before the search.
     """
     counts = index.where("words is not null and label is not null").groupBy("category", F.col("words").alias("y")).agg(F.count("*").alias("n"), F.sum(F.col("label").cast("bigint")).alias("pos"))
-    near = near_codes(cards, counts.withColumnRenamed("y", "words"), max_distance).join(counts, ["category", "y"])
+    coded, asked = counts.withColumnRenamed("y", "words"), cards
+    crowded = _crowded(cards, coded, max_distance)
+    if crowded is not None:
+        asked, counts = (rows.join(crowded, "category", "left_anti") for rows in (cards, counts))
+    near = near_codes(asked, counts.withColumnRenamed("y", "words"), max_distance).join(counts, ["category", "y"])
     votes = near.groupBy("category", F.col("x").alias("words")).agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
+    if crowded is not None:
+        x, y, _ = _tiles(cards.where("words is not null").select("category", "words").distinct(), coded, crowded)
+        schema = T.StructType([*[T.StructField(n, x.schema[n].dataType) for n in ("category", "words")], T.StructField("n", T.LongType()), T.StructField("pos", T.LongType())])
+        votes = votes.unionByName(_cogrouped(x, y, _votes(max_distance), schema).groupBy("category", "words").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")))
     share = F.col("pos") / F.col("n")
     label = F.when(F.greatest(share, 1.0 - share) >= purity, F.when(share > 0.5, 1).otherwise(0))
     return cards.where("words is not null").join(votes, ["category", "words"]).select("id", label.alias("dhash_label"))
