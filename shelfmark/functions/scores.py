@@ -16,6 +16,13 @@ def logit(p: Column) -> Column:
     return F.ln(p / (F.lit(1.0) - p))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """x, not negative, rounded half up as doubles are in C: the scaled double decides, not its decimal digits as in F.round()."""
+    scaled = x * F.lit(10.0**digits)
+    whole = F.floor(scaled).cast("double")
+    return (whole + F.when(scaled - whole >= 0.5, 1.0).otherwise(0.0)) / F.lit(10.0**digits)
+
+
 def sigmoid(z: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
 
