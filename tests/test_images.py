@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -181,3 +182,61 @@ def test_summary_by_name_is_that_of_records(spark, monkeypatch, leave_out):
     monkeypatch.setattr(images, "FEW_PAIRS", 1)
     got = {x.query_id: (x.near_low, x.near_high) for x in images.near_summary(c, p, index, k=9, leave_out=leave_out).collect()}
     assert len(got) > 60 and got == {i: (min(v), max(v)) for i, v in want.items()}
+
+
+@pytest.mark.parametrize("leave_out", [False, True])
+@pytest.mark.parametrize("tile", [1 << 15, 70])
+def test_codes_soon_compared_are_not_keyed(spark, monkeypatch, leave_out, tile):
+    cards, pics = few_bits(120)
+    c, p = spark.createDataFrame(cards, SIGNED), spark.createDataFrame(pics, "id long, sha string, words array<long>")
+    index = images.retrieval_index(c, p)
+    decisions = lambda: {x.id: tuple(x) for x in images.image_decisions(c, p, index, "s", "f", k=9, leave_out=leave_out).collect()}
+    near = lambda: {x.query_id: (x.near_low, x.near_high) for x in images.near_summary(c, p, index, k=9, leave_out=leave_out).collect()}
+    want, by_keys = decisions(), near()
+
+    def keyed(*_):
+        raise AssertionError("keys of codes whose pairs are few enough to be compared")
+
+    monkeypatch.setattr(images, "_keyed", keyed)
+    monkeypatch.setattr(images, "FEW_PAIRS", 1)
+    monkeypatch.setattr(images, "TILE_X", tile)
+    monkeypatch.setattr(images, "TILE_Y", tile)
+    assert near() == by_keys and len(by_keys) > 60
+    assert decisions() == want
+
+
+def test_many_codes_are_keyed_unless_crowded(spark, monkeypatch):
+    cards, pics = few_bits(120)
+    c, p = spark.createDataFrame(cards, SIGNED), spark.createDataFrame(pics, "id long, sha string, words array<long>")
+    index = images.retrieval_index(c, p)
+    asked = c.join(p, "id").select("category", "words")
+    main = p.dropDuplicates(["id"]).select("id", "words").join(c, "id")
+    found = lambda: sorted(tuple(map(str, x)) for x in images.nearest_images(asked, index["dhash"], 4, 6).collect())
+    votes = lambda: {x.id: x.dhash_label for x in images.memory_votes(main, main, 3, 0.7).collect()}
+    want, voted = found(), votes()
+    monkeypatch.setattr(images, "FEW_PAIRS", 1)
+    monkeypatch.setattr(images, "SOME_PAIRS", 1)
+    tiled, keyed = images._searched(asked, index["dhash"], 4, 6)
+    assert {x.category for x in tiled[0].select("category").distinct().collect()} == {"s", "f"}
+    assert {x.category for x in keyed.select("category").distinct().collect()} == {"w"}
+    assert found() == want and votes() == voted
+
+
+@pytest.mark.parametrize("few", [1, 1 << 20])
+def test_words_without_value_are_near_nothing(spark, monkeypatch, few):
+    monkeypatch.setattr(images, "FEW_PAIRS", few)
+    rows = [(0, "c", 1, "n", [0, 0, 0, 0]), (1, "c", 1, "n", [1, 0, 0, 0]), (2, "c", 0, "n", [0, None, 0, 0]), (3, "c", 0, "n", [1, None, 0, 0]), (4, "c", 0, "n", None)]
+    df = spark.createDataFrame(rows, "id long, category string, label int, name_n string, words array<long>")
+    assert sorted((x.words[0], x.id, x.dist) for x in images.nearest_images(df, df, 4, 9).collect()) == [(0, 0, 0), (0, 1, 1), (1, 0, 1), (1, 1, 0)]
+    assert {x.id: x.dhash_label for x in images.memory_votes(df, df).collect()} == {0: 1, 1: 1}
+
+
+def test_packed_words_keep_distances():
+    r = np.random.default_rng(4)
+    narrow = np.stack([r.integers(0, 1 << 9, 80), -r.integers(0, 4, 80), np.full(80, -(2**63)), r.integers(0, 2, 80)], axis=1)
+    for codes, most_bits in [(narrow, 32), (r.integers(-(2**63), 2**63 - 1, (80, 4)), 256), (np.array([[0, 0, 0, 0], [-1, -1, -1, -1]] * 40), 5)]:
+        x, y = codes[:30].view(np.uint64), codes[30:].view(np.uint64)
+        assert images._packed(x, y, 4)[2] <= most_bits
+        for at, d in images._distances(x, y, 4):
+            want = np.array([[distance(a, b) for b in codes[30:].tolist()] for a in codes[:30].tolist()])[at : at + len(d)]
+            assert (np.minimum(d, 5) == np.minimum(want, 5)).all()
